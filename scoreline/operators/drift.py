@@ -45,9 +45,10 @@ def value_counts(
     both = _long(reference, columns, kind, 0).unionByName(_long(current, columns, kind, 1))
     if kind == "double":
         both = both.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
-    return both.groupBy("feature", "value").agg(
+    counts = both.groupBy("feature", "value").agg(
         F.count_if(F.col("side") == 0).alias("ref_n"), F.count_if(F.col("side") == 1).alias("cur_n")
     )
+    return prefix.settle(counts, "value", ["feature"])
 
 
 def _psi_term(ref_n: Column, cur_n: Column, ref_total: Column, cur_total: Column) -> Column:
@@ -68,77 +69,78 @@ def _feature_totals(counts: DataFrame) -> DataFrame:
     )
 
 
-def _running(counts: DataFrame) -> DataFrame:
+def _profile(counts: DataFrame, buckets: int) -> DataFrame:
+    """Per feature: distinct reference quantiles and the widest gap of the two distributions."""
     present = counts.where(F.col("value").isNotNull())
-    return prefix.cumulative(present, "value", ["ref_n", "cur_n"], ["feature"])
-
+    running = prefix.cumulative(present, "value", ["ref_n", "cur_n"], ["feature"])
+    gap = F.abs(
+        F.col("cum_ref_n") / F.when(F.col("total_ref_n") > 0, F.col("total_ref_n"))
+        - F.col("cum_cur_n") / F.when(F.col("total_cur_n") > 0, F.col("total_cur_n"))
+    )
+    out = prefix.quantiles(
+        running, "value", "ref_n", buckets, ["feature"], extra=[F.max(gap).alias("gap")]
+    )
+    return out.select("feature", F.array_distinct("quantiles").alias("points"), "gap")
 
-def breakpoints(running: DataFrame, buckets: int) -> DataFrame:
-    """Distinct reference quantiles per feature; the outer two are open ends."""
-    points = prefix.quantiles(running, "value", "ref_n", buckets, ["feature"])
-    return points.select("feature", F.array_distinct("quantiles").alias("points"))
 
+def _bucket_psi(counts: DataFrame, profile: DataFrame, totals: DataFrame) -> DataFrame:
+    """feature, psi over the buckets between the reference quantiles.
 
-def bucket_counts(counts: DataFrame, points: DataFrame) -> DataFrame:
-    """Half-open buckets with open ends: the bucket is the number of inner points <= value."""
-    inner = F.slice("points", F.lit(2), F.greatest(F.size("points") - 2, F.lit(0)))
-    # (features x buckets) numbers.
-    placed = counts.where(F.col("value").isNotNull()).join(F.broadcast(points), "feature")
-    bucket = F.size(F.filter(inner, lambda p: p <= F.col("value")))
-    return (
-        placed.withColumn("bucket", bucket.cast("bigint"))
-        .groupBy("feature", "bucket", F.size("points").alias("n_points"))
-        .agg(F.sum("ref_n").alias("ref_n"), F.sum("cur_n").alias("cur_n"))
+    Buckets are half-open and the outer two have open ends, so a value's bucket is the number
+    of inner points <= value. Fewer than 3 points, or an empty side, give no row.
+    """
+    sizes = totals.select("feature", "ref_values", "cur_values")
+    points = profile.where(F.size("points") >= 3).select(
+        "feature", F.slice("points", F.lit(2), F.size("points") - 2).alias("inner")
+    )
+    # One row per monitored column, with at most `buckets` numbers.
+    steering = points.join(F.broadcast(sizes), "feature").where(
+        (F.col("ref_values") > 0) & (F.col("cur_values") > 0)
+    )
+    placed = counts.where(F.col("value").isNotNull()).join(F.broadcast(steering), "feature")
+    bucket = F.size(F.filter("inner", lambda p: p <= F.col("value")))
+    per_bucket = placed.groupBy("feature", bucket.alias("bucket"), "ref_values", "cur_values").agg(
+        F.sum("ref_n").alias("ref_n"), F.sum("cur_n").alias("cur_n")
     )
+    term = _psi_term(F.col("ref_n"), F.col("cur_n"), F.col("ref_values"), F.col("cur_values"))
+    return per_bucket.groupBy("feature").agg(F.sum(term).alias("psi"))
+
 
+def numeric_drift(
+    reference: DataFrame, current: DataFrame, columns: Sequence[str], buckets: int = 10
+) -> DataFrame:
+    """feature, psi, ks_d, n_reference, n_current, cur_rows for all columns in one job.
 
-def _numeric_psi(counts: DataFrame, running: DataFrame, buckets: int) -> DataFrame:
-    """feature, psi; 0 where a side is empty or the reference has fewer than 3 points."""
-    per_bucket = bucket_counts(counts, breakpoints(running, buckets))
+    psi is 0 where a side is empty or the reference has fewer than 3 distinct quantiles; ks_d is
+    0 when a side has fewer than 2 values. Statistics the caller does not select cost nothing.
+    """
+    counts = value_counts(reference, current, columns, "double")
     totals = _feature_totals(counts)
-    term = _psi_term(F.col("ref_n"), F.col("cur_n"), F.col("ref_values"), F.col("cur_values"))
-    usable = (F.col("n_points") >= 3) & (F.col("ref_values") > 0) & (F.col("cur_values") > 0)
-    return (
-        totals.join(per_bucket, "feature", "left")
-        .groupBy("feature")
-        .agg(
-            F.coalesce(F.sum(F.when(usable, term)), F.lit(0.0)).alias("psi"),
-            F.first("ref_values").alias("n_reference"),
-            F.first("cur_values").alias("n_current"),
-        )
+    profile = _profile(counts, buckets)
+    psi = _bucket_psi(counts, profile, totals)
+    enough = (F.col("ref_values") >= 2) & (F.col("cur_values") >= 2)
+    # All three have one row per monitored column.
+    joined = totals.join(F.broadcast(profile.select("feature", "gap")), "feature", "left")
+    return joined.join(F.broadcast(psi), "feature", "left").select(
+        "feature",
+        F.coalesce("psi", F.lit(0.0)).alias("psi"),
+        F.when(enough, F.col("gap")).otherwise(0.0).alias("ks_d"),
+        F.col("ref_values").alias("n_reference"),
+        F.col("cur_values").alias("n_current"),
+        "cur_rows",
     )
 
 
 def numeric_psi(
     reference: DataFrame, current: DataFrame, columns: Sequence[str], buckets: int = 10
 ) -> DataFrame:
-    counts = value_counts(reference, current, columns, "double")
-    return _numeric_psi(counts, _running(counts), buckets)
-
-
-def _ks(counts: DataFrame, running: DataFrame) -> DataFrame:
-    """feature, d and both sizes; d is 0 when a side has fewer than 2 values."""
-    gap = F.abs(
-        F.col("cum_ref_n") / F.when(F.col("total_ref_n") > 0, F.col("total_ref_n"))
-        - F.col("cum_cur_n") / F.when(F.col("total_cur_n") > 0, F.col("total_cur_n"))
-    )
-    widest = running.groupBy("feature").agg(F.max(gap).alias("gap"))
-    enough = (F.col("ref_values") >= 2) & (F.col("cur_values") >= 2)
-    return (
-        _feature_totals(counts)
-        .join(F.broadcast(widest), "feature", "left")
-        .select(
-            "feature",
-            F.when(enough, F.col("gap")).otherwise(0.0).alias("ks_d"),
-            F.col("ref_values").alias("n_reference"),
-            F.col("cur_values").alias("n_current"),
-        )
-    )
+    stats = numeric_drift(reference, current, columns, buckets)
+    return stats.select("feature", "psi", "n_reference", "n_current")
 
 
 def ks_statistic(reference: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
-    counts = value_counts(reference, current, columns, "double")
-    return _ks(counts, _running(counts))
+    stats = numeric_drift(reference, current, columns)
+    return stats.select("feature", "ks_d", "n_reference", "n_current")
 
 
 def ks_test(reference: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -236,16 +238,9 @@ def prediction_drift(
 
     Too small a current window gives no rows. The psi row alone decides about drift overall.
     """
-    counts = value_counts(reference, current, [column], "double")
-    running = _running(counts)
-    sizes = _feature_totals(counts).select("feature", "cur_rows")
-    one = (
-        _numeric_psi(counts, running, buckets)
-        .join(F.broadcast(_ks(counts, running).select("feature", "ks_d")), "feature")
-        .join(F.broadcast(sizes), "feature")
-        .where(F.col("cur_rows") >= min_sample)
-        .withColumn("p", ks_p(F.col("ks_d"), F.col("n_reference"), F.col("n_current")))
-    )
+    p = ks_p(F.col("ks_d"), F.col("n_reference"), F.col("n_current"))
+    one = numeric_drift(reference, current, [column], buckets)
+    one = one.where(F.col("cur_rows") >= min_sample).withColumn("p", p)
     rows = F.array(
         _metric("prediction", "psi", F.col("psi"), significant, F.col("psi") >= significant),
         _metric("prediction", "ks", F.col("ks_d"), ks_alpha, F.col("p") < ks_alpha, F.col("p")),
@@ -284,13 +279,9 @@ def data_drift(
     categorical = [c for c in categorical if c in shared]
     parts: list[DataFrame] = []
     if numeric:
-        counts = value_counts(reference, current, numeric, "double")
-        psi = _numeric_psi(counts, _running(counts), buckets)
-        sizes = _feature_totals(counts).select("feature", "cur_rows")
+        psi = numeric_drift(reference, current, numeric, buckets)
         rows = F.array(_metric("data", "psi", F.col("psi"), psi_threshold, F.col("psi") >= psi_threshold))
-        parts.append(
-            psi.join(F.broadcast(sizes), "feature").select("feature", "cur_rows", F.inline(rows))
-        )
+        parts.append(psi.select("feature", "cur_rows", F.inline(rows)))
     if categorical:
         stat = _categorical(value_counts(reference, current, categorical, "string"))
         stat = stat.withColumn("p", chi_square_p(F.col("chi_square"), F.col("dof")))

@@ -15,8 +15,8 @@ KEY = ("customer_id", "processed_ts")
 def message_to_row(df: DataFrame, field=F.col, present: Sequence[str] | None = None) -> DataFrame:
     """Prediction messages (all text) to typed log rows.
 
-    Rows without id or probability cannot be stored; `row_error` names the reason and the
-    caller quarantines them.
+    Adds the struct `row` and `row_error`: rows without id, probability or label cannot be
+    stored, and the caller quarantines them.
     """
     have = set(df.columns if present is None else present)
 
@@ -36,20 +36,16 @@ def message_to_row(df: DataFrame, field=F.col, present: Sequence[str] | None = N
         "contract": get("Contract", "contract"),
     }
     needed = ("customer_id", "churn_probability", "prediction")
+    row = F.struct(*[v.alias(k) for k, v in typed.items()])
     error = F.coalesce(
-        *[F.when(typed[c].isNull(), F.lit(f"unusable {c}")) for c in needed]
+        *[F.when(F.col("row")[c].isNull(), F.lit(f"unusable {c}")) for c in needed]
     )
-    return df.select(*df.columns, *[v.alias(f"row_{k}") for k, v in typed.items()], error.alias("row_error"))
+    return df.withColumn("row", row).withColumn("row_error", error)
 
 
-def log_rows(df: DataFrame) -> DataFrame:
+def log_rows(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """The storable rows of message_to_row(), under their table names."""
-    good = df.where(F.col("row_error").isNull())
-    names = [c for c in df.columns if c.startswith("row_") and c != "row_error"]
-    return good.select(
-        *[c for c in df.columns if not c.startswith("row_") and f"row_{c}" not in names],
-        *[F.col(c).alias(c.removeprefix("row_")) for c in names],
-    )
+    return df.where(F.col("row_error").isNull()).select(*keep, "row.*")
 
 
 def last_of_batch(df: DataFrame, arrival: Sequence[str], key: Sequence[str] = KEY) -> DataFrame:

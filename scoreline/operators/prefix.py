@@ -22,6 +22,19 @@ from scoreline.session import default_slices
 SAMPLE_PER_SLICE = 32
 
 
+def settle(counts: DataFrame, order: str, groups: Sequence[str] = ()) -> DataFrame:
+    """Lets all branches of a plan read the one shuffle that made `counts`.
+
+    The branches filter on the value and need different counters. Pushed below the aggregate,
+    that would give each of them its own scan and shuffle of the source. Here the value depends
+    on all counters (the hash is a 64-bit number, so the test holds), which keeps the branches
+    equal down to the shuffle, and Spark reuses it.
+    """
+    others = [c for c in counts.columns if c != order and c not in groups]
+    always = F.xxhash64(*others) >= F.lit(-(2**63))
+    return counts.withColumn(order, F.when(always, F.col(order)))
+
+
 def _locate(df: DataFrame, cuts: str, value: str, slices: int, out: str) -> DataFrame:
     """Number of cuts <= value by binary search, one generated projection per step."""
     df = df.withColumn(out, F.lit(0))
@@ -63,6 +76,7 @@ def cumulative(
     groups = list(groups)
     sums = list(sums)
     wanted = n * SAMPLE_PER_SLICE
+    counts = settle(counts, order, groups)
 
     totals = counts.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("__rows"), *[F.sum(s).alias(f"total_{s}") for s in sums]
@@ -71,8 +85,7 @@ def cumulative(
 
     # Uniform in [0, 1) per value, the same wherever it is evaluated.
     spread = F.pmod(F.xxhash64(F.col(order)), F.lit(1 << 30)) / float(1 << 30)
-    weight = sum((F.abs(F.col(s)) for s in sums), F.lit(0))
-    picked = totals.where((spread * F.col("__rows") < wanted) & (weight >= 0))
+    picked = totals.where(spread * F.col("__rows") < wanted)
     sample = picked.groupBy(*groups).agg(F.sort_array(F.collect_list(order)).alias("__sample"))
     size = F.size("__sample")
     at = F.transform(
@@ -109,52 +122,55 @@ def cumulative(
 
 
 def quantiles(
-    running: DataFrame, order: str, count: str, buckets: int, groups: Sequence[str] = ()
+    running: DataFrame,
+    order: str,
+    count: str,
+    buckets: int,
+    groups: Sequence[str] = (),
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
     """Exact linear-interpolated quantiles at 0, 1/buckets, ..., 1 per group.
 
     `running` comes from cumulative(); `count` names the weight whose quantiles are wanted.
-    Only the rows that cover one of the needed ranks are gathered: at most 2 * (buckets + 1).
+    Only the rows that cover one of the needed ranks are gathered, about 2 * buckets per group.
+    `extra` aggregates over all rows are computed in the same pass.
     """
     total, upto = F.col(f"total_{count}"), F.col(f"cum_{count}")
     start = upto - F.col(count)
-
-    def cover(rank: Column, first: Column, after: Column) -> Column:
-        return (rank >= first) & (rank < after)
-
-    ks = F.sequence(F.lit(0).cast("bigint"), F.lit(buckets).cast("bigint"))
-    # Index of the last k whose lower (upper) rank is <= x, by whole numbers only.
     span = F.when(total > 1, total - 1)
 
-    def last_lower(x: Column) -> Column:
+    # How many of the lower (upper) ranks of the quantiles are <= x. A row is needed when that
+    # number grows across it; one rank of slack on both sides absorbs rounding.
+    def lower(x: Column) -> Column:
         return F.least(F.ceil((x + 1) * buckets / span) - 1, F.lit(buckets))
 
-    def last_upper(x: Column) -> Column:
+    def upper(x: Column) -> Column:
         return F.least(F.floor(x * buckets / span), F.lit(buckets))
 
-    # Ranks are compared with one unit of slack, the exact choice is made on the gathered rows.
     hit = (
-        (last_lower(upto) > last_lower(start - 2))
-        | (last_upper(upto) > last_upper(start - 2))
+        (lower(upto) > lower(start - 2))
+        | (upper(upto) > upper(start - 2))
         | (total <= 1)
         | (start <= 1)
         | (upto >= total - 1)
     )
-    needed = running.where((F.col(count) > 0) & hit)
     row = F.struct(start.alias("first"), upto.alias("after"), F.col(order).alias("v"))
-    packed = needed.groupBy(*groups).agg(
-        F.sort_array(F.collect_list(row)).alias("rows"), F.max(total).alias("n")
+    needed = F.when((F.col(count) > 0) & hit, row)
+    packed = running.groupBy(*groups).agg(
+        F.sort_array(F.collect_list(needed)).alias("__rows"), F.max(total).alias("__n"), *extra
     )
 
     def at(rank: Column) -> Column:
-        return F.get(F.filter("rows", lambda r: cover(rank, r["first"], r["after"])), F.lit(0))["v"]
+        covers = F.filter("__rows", lambda r: (rank >= r["first"]) & (rank < r["after"]))
+        return F.get(covers, F.lit(0))["v"]
 
     def value(k: Column) -> Column:
-        position = k * (F.col("n") - 1)
+        position = k * (F.col("__n") - 1)
         low = F.floor(position / buckets)
         part = (position % buckets) / buckets
         a = at(low)
         b = at(F.when(part > 0, low + 1).otherwise(low))
         return a + (b - a) * part
 
-    return packed.select(*groups, F.transform(ks, value).alias("quantiles"))
+    ks = F.sequence(F.lit(0).cast("bigint"), F.lit(buckets).cast("bigint"))
+    return packed.withColumn("quantiles", F.transform(ks, value)).drop("__rows", "__n")

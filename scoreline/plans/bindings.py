@@ -59,18 +59,24 @@ def windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One clean row per customer that has orders.
 
-    Orders are summed per customer first, so the join moves one row per customer.
+    Orders are summed per customer first, so the join moves one row per customer. Prices are
+    summed as whole cents: the result does not depend on the order of the rows.
     """
-    per_customer = (
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    sums = (
         table(spark, sf_dir, "orders")
         .groupBy("o_custkey")
         .agg(
             F.datediff(F.max("o_orderdate"), F.min("o_orderdate")).cast("double").alias("tenure"),
-            F.round(F.avg("o_totalprice"), 2).alias("MonthlyCharges"),
-            F.round(F.sum("o_totalprice"), 2).alias("TotalCharges"),
+            F.sum(cents).alias("cents"),
+            F.count(F.lit(1)).alias("n"),
             F.max("o_orderdate").alias("last_order"),
         )
     )
+    mean_cents = F.expr("(2 * cents + n) div (2 * n)")
+    per_customer = sums.withColumns(
+        {"MonthlyCharges": mean_cents / 100.0, "TotalCharges": F.col("cents") / 100.0}
+    )
     places = table(spark, sf_dir, "nation").join(
         table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     )

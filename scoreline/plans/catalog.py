@@ -181,11 +181,11 @@ def message_to_row(spark, sf):
     typed = merge.message_to_row(messages)
     return typed.select(
         "event_id",
-        F.col("row_customer_id").alias("customer_id"),
-        F.col("row_churn_probability").alias("churn_probability"),
-        F.col("row_actual_churn").alias("actual_churn"),
-        C.iso_second(F.col("row_processed_ts")).alias("processed_ts"),
-        F.col("row_contract").alias("contract"),
+        "row.customer_id",
+        "row.churn_probability",
+        "row.actual_churn",
+        C.iso_second(F.col("row.processed_ts")).alias("processed_ts"),
+        "row.contract",
         "row_error",
     )
 

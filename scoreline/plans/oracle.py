@@ -25,8 +25,8 @@ CTES: dict[str, str] = {
         FROM customer
         JOIN (SELECT o_custkey,
                      CAST(date_diff('day', min(o_orderdate), max(o_orderdate)) AS DOUBLE) AS tenure,
-                     round(avg(o_totalprice), 2) AS "MonthlyCharges",
-                     round(sum(o_totalprice), 2) AS "TotalCharges",
+                     ((2 * CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) + count(*)) // (2 * count(*))) / 100.0 AS "MonthlyCharges",
+                     CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) / 100.0 AS "TotalCharges",
                      max(o_orderdate) AS last_order
               FROM orders GROUP BY o_custkey) o ON c_custkey = o.o_custkey
         JOIN nation ON c_nationkey = n_nationkey
@@ -158,13 +158,16 @@ CTES: dict[str, str] = {
         SELECT feature, count(*) FILTER (side = 0) AS n_reference, count(*) FILTER (side = 1) AS n_current
         FROM numeric_long GROUP BY feature""",
     "points": """
-        SELECT feature, list_sort(list_distinct(quantile_cont(v, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS pts
-        FROM numeric_long WHERE side = 0 GROUP BY feature""",
+        SELECT feature, q, row_number() OVER (PARTITION BY feature ORDER BY q) AS i, count(*) OVER (PARTITION BY feature) AS n_points
+        FROM (SELECT DISTINCT feature, q FROM (SELECT feature, unnest(quantile_cont(v, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS q
+              FROM numeric_long WHERE side = 0 GROUP BY feature))""",
     "buckets": """
-        SELECT l.feature, len(pts) AS n_points,
-               len(list_filter(pts[2:len(pts) - 1], x -> x <= v)) AS bucket,
-               count(*) FILTER (side = 0) AS rn, count(*) FILTER (side = 1) AS cn
-        FROM numeric_long l JOIN points p ON l.feature = p.feature GROUP BY ALL""",
+        SELECT feature, bucket, max(n_points) AS n_points, sum(rn) AS rn, sum(cn) AS cn
+        FROM (SELECT c.feature, c.v, any_value(rn) AS rn, any_value(cn) AS cn, max(n_points) AS n_points,
+                     count(*) FILTER (i > 1 AND i < n_points AND q <= c.v) AS bucket
+              FROM (SELECT feature, v, count(*) FILTER (side = 0) AS rn, count(*) FILTER (side = 1) AS cn
+                    FROM numeric_long GROUP BY ALL) c
+              JOIN points p ON c.feature = p.feature GROUP BY c.feature, c.v) GROUP BY feature, bucket""",
     "num_psi": """
         SELECT s.feature, any_value(n_reference) AS n_reference, any_value(n_current) AS n_current,
                sum(CASE WHEN n_points < 3 THEN 0.0 ELSE
@@ -178,9 +181,10 @@ CTES: dict[str, str] = {
               FROM (SELECT feature, v, count(*) FILTER (side = 0) AS rn, count(*) FILTER (side = 1) AS cn
                     FROM numeric_long GROUP BY ALL)) GROUP BY feature""",
     "ks_tail": """
-        SELECT *, least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101), j ->
-               (CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * j * j * pow(lam, 2)))))) AS p
-        FROM (SELECT *, (sqrt(n * m / CAST(n + m AS DOUBLE)) + 0.12 + 0.11 / sqrt(n * m / CAST(n + m AS DOUBLE))) * d AS lam FROM ks)""",
+        SELECT feature, any_value(d) AS d, any_value(n) AS n, any_value(m) AS m,
+               least(1.0, greatest(0.0, 2 * sum((CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * j * j * lam * lam)))) AS p
+        FROM (SELECT *, (sqrt(n * m / CAST(n + m AS DOUBLE)) + 0.12 + 0.11 / sqrt(n * m / CAST(n + m AS DOUBLE))) * d AS lam FROM ks)
+        CROSS JOIN (SELECT unnest(range(1, 101)) AS j) GROUP BY feature""",
     "cat_long": """
         SELECT 'contract' AS feature, contract AS v, 0 AS side FROM ref UNION ALL SELECT 'contract', contract, 1 FROM cur
         UNION ALL SELECT 'model_version', model_version, 0 FROM ref UNION ALL SELECT 'model_version', model_version, 1 FROM cur""",

@@ -61,7 +61,9 @@ def decode(df: DataFrame, spec: FeatureSpec, value: str = "value") -> DataFrame:
     schema = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in [*names, _END]]))
     text = F.col(value).cast("string")
     framed = F.concat(F.lit("["), text, F.lit(f',{{"{_END}":"1"}}]'))
-    parsed = df.withColumn("__doc", F.from_json(framed, schema))
+    # One generated row per input row: everything below refers to the parsed document, where a
+    # plain column would be parsed again for every expression that is pushed into a filter.
+    parsed = df.select("*", F.explode_outer(F.array(F.from_json(framed, schema))).alias("__doc"))
     looks_object = _present(F.btrim(text, F.lit(_JSON_SPACE)).startswith("{"))
     closed = _present((F.size("__doc") == 2) & (F.get("__doc", F.lit(1))[_END] == "1"))
     is_event = looks_object & closed

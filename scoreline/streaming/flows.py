@@ -143,7 +143,7 @@ def ingest_stream(
         try:
             bad = typed.where(F.col("row_error").isNotNull()).select("value", "row_error")
             bad.write.mode("overwrite").parquet(f"{quarantine}/batch_id={batch_id}")
-            store.merge_predictions(merge.log_rows(typed), ["arrival"])
+            store.merge_predictions(merge.log_rows(typed, ["arrival"]), ["arrival"])
         finally:
             typed.unpersist()
 
