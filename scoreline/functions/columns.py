@@ -22,10 +22,19 @@ def null_if_nan(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def text_to_double(text: Column) -> Column:
+    """Stripped text to number, NaN or null. The JVM would also read '12d' and '12f'."""
+    suffixed = F.substring(text, -1, 1).isin("d", "D", "f", "F") & text.rlike("[0-9.][dDfF]$")
+    return F.when(~suffixed, text.try_cast("double"))
+
+
+def double_to_whole(number: Column) -> Column:
+    """A fraction is cut off; NaN and what no 64-bit integer can hold become null."""
+    return F.when(F.abs(number) < F.lit(2.0**63), number.try_cast("bigint"))
+
+
 def parse_double(c: Column) -> Column:
-    """Number or null. The JVM would also read '12d' and '12f', which are not numbers here."""
-    text = strip(c.cast("string"))
-    return F.when(~text.rlike("[0-9.][dDfF]$"), text.try_cast("double"))
+    return text_to_double(strip(c.cast("string")))
 
 
 def lenient_double(c: Column) -> Column:
@@ -39,15 +48,17 @@ def strict_double(c: Column) -> Column:
 
 
 def whole_number(c: Column) -> Column:
-    """Integer coercion; a fraction is cut off, anything unreadable becomes null."""
-    number = strict_double(c)
-    return F.when(F.abs(number) < F.lit(2.0**63), number.try_cast("bigint"))
+    """Integer coercion; anything unreadable becomes null."""
+    return double_to_whole(parse_double(c))
+
+
+def text_to_flag(text: Column) -> Column:
+    return F.when(text == "Yes", F.lit(1)).when(text == "No", F.lit(0)).cast("bigint")
 
 
 def yes_no(c: Column) -> Column:
     """Yes/No to 1/0; anything else becomes null."""
-    text = strip(c)
-    return F.when(text == "Yes", F.lit(1)).when(text == "No", F.lit(0)).cast("bigint")
+    return text_to_flag(strip(c))
 
 
 def ground_truth(c: Column) -> Column:

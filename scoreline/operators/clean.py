@@ -18,37 +18,59 @@ def strip_strings(df: DataFrame) -> DataFrame:
     return df.withColumns({c: C.strip(F.col(c)) for c in texts})
 
 
-def typed_columns(
-    spec: FeatureSpec, source=F.col, target: str = "required"
-) -> tuple[dict[str, Column], Column]:
-    """The cleaned columns and the first rule a row breaks (null when it breaks none).
+def typed(
+    df: DataFrame, spec: FeatureSpec, source=F.col, target: str = "required", also: Column | None = None
+) -> DataFrame:
+    """Adds the struct `typed` (cleaned columns) and `clean_error` (first broken rule or null).
 
     `source` turns a column name into the raw column, so that tables and parsed events share
-    the rules. `target` is "required", "optional" (null counts as No) or "absent".
-    """
-    typed: dict[str, Column] = {}
-    errors: list[Column] = []
-
-    def check(name: str, column: Column, reason: str) -> None:
-        typed[name] = column
-        errors.append(F.when(column.isNull(), F.lit(f"ValueError: {name}: {reason}")))
+    the rules. `target` is "required", "optional" (null counts as No) or "absent". `also` is an
+    error that goes before the rules.
 
-    for name in spec.numeric:
-        if name in spec.lenient:
-            typed[name] = C.lenient_double(source(name))
+    Stripping, reading and checking are projections of their own: each cell is stripped and
+    read once, however often the result is tested. The result is generated as one row per row,
+    which keeps a filter on the error from being evaluated on the raw cells again.
+    """
+    raw = {c: source(c) for c in spec.features}
+    if target != "absent":
+        word = source(spec.target_raw)
+        raw[spec.target] = F.coalesce(word, F.lit("No")) if target == "optional" else word
+    numbers = [*spec.numeric, *spec.int_binary]
+    texts = df.select(
+        "*", *[C.strip(c.cast("string")).alias(f"__text_{n}") for n, c in raw.items()]
+    )
+    read = texts.select(
+        "*", *[C.text_to_double(F.col(f"__text_{n}")).alias(f"__number_{n}") for n in numbers]
+    )
+    cells: dict[str, Column] = {}
+    reasons: dict[str, str] = {}
+    for n in spec.numeric:
+        value = C.null_if_nan(F.col(f"__number_{n}"))
+        if n in spec.lenient:
+            cells[n] = F.coalesce(value, F.lit(0.0))
         else:
-            check(name, C.strict_double(source(name)), "not a number")
-    for name in spec.yes_no:
-        check(name, C.yes_no(source(name)), "expected Yes or No")
+            cells[n], reasons[n] = value, "not a number"
+    for n in spec.yes_no:
+        cells[n], reasons[n] = C.text_to_flag(F.col(f"__text_{n}")), "expected Yes or No"
     if target != "absent":
-        raw = source(spec.target_raw)
-        raw = F.coalesce(raw, F.lit("No")) if target == "optional" else raw
-        check(spec.target, C.yes_no(raw), "expected Yes or No")
-    for name in spec.int_binary:
-        check(name, C.whole_number(source(name)), "not an integer")
-    for name in spec.categorical:
-        check(name, C.strip(source(name)), "missing value")
-    return typed, F.coalesce(*errors)
+        flag = C.text_to_flag(F.col(f"__text_{spec.target}"))
+        cells[spec.target], reasons[spec.target] = flag, "expected Yes or No"
+    for n in spec.int_binary:
+        cells[n], reasons[n] = C.double_to_whole(F.col(f"__number_{n}")), "not an integer"
+    for n in spec.categorical:
+        cells[n], reasons[n] = F.col(f"__text_{n}"), "missing value"
+    checked = read.select(*df.columns, *[c.alias(f"__cell_{n}") for n, c in cells.items()])
+    error = F.coalesce(
+        *([also] if also is not None else []),
+        *[
+            F.when(F.col(f"__cell_{n}").isNull(), F.lit(f"ValueError: {n}: {reason}"))
+            for n, reason in reasons.items()
+        ],
+    )
+    row = F.struct(
+        F.struct(*[F.col(f"__cell_{n}").alias(n) for n in cells]).alias("typed"), error.alias(ERROR)
+    )
+    return checked.select(*df.columns, F.inline(F.array(row)))
 
 
 def clean(df: DataFrame, spec: FeatureSpec, on_error: str = "raise") -> DataFrame:
@@ -59,12 +81,14 @@ def clean(df: DataFrame, spec: FeatureSpec, on_error: str = "raise") -> DataFram
     """
     if on_error not in ("raise", "flag", "drop"):
         raise ValueError(f"unknown on_error: {on_error}")
-    typed, error = typed_columns(spec)
-    key = C.strip(F.col(spec.id).cast("string"))
-    error = F.coalesce(error, F.when(key.isNull(), F.lit(f"ValueError: {spec.id}: missing value")))
+    keyed = df.withColumn(spec.id, C.strip(F.col(spec.id).cast("string")))
+    no_id = F.when(F.col(spec.id).isNull(), F.lit(f"ValueError: {spec.id}: missing value"))
+    rows = typed(keyed, spec)
     order = [f.name for f in spec.clean_schema().fields if f.name != spec.id]
-    out = df.select(
-        key.alias(spec.id), *[typed[c].alias(c) for c in order], error.alias(ERROR)
+    out = rows.select(
+        spec.id,
+        *[F.col("typed")[c].alias(c) for c in order],
+        F.coalesce(F.col(ERROR), no_id).alias(ERROR),
     )
     if on_error == "flag":
         return out

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoreline.functions import columns as C
-from scoreline.operators.clean import typed_columns
+from scoreline.operators.clean import ERROR, typed
 from scoreline.spec import FeatureSpec
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -66,27 +66,25 @@ def decode(df: DataFrame, spec: FeatureSpec, value: str = "value") -> DataFrame:
     parsed = df.select("*", F.explode_outer(F.array(F.from_json(framed, schema))).alias("__doc"))
     looks_object = _present(F.btrim(text, F.lit(_JSON_SPACE)).startswith("{"))
     closed = _present((F.size("__doc") == 2) & (F.get("__doc", F.lit(1))[_END] == "1"))
-    is_event = looks_object & closed
+    tested = parsed.withColumn("__is_event", looks_object & closed)
     # Reached only by rows that are no single object.
     loose = F.from_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')), "array<string>")
     is_json = _present((F.size(loose) == 2) & (F.get(loose, F.lit(1)) == _END))
-    payload = F.when(is_event, F.get("__doc", F.lit(0)))
-    out = parsed.withColumn("payload", payload)
-    absent = [F.col("payload")[n].isNull() for n in spec.required_fields]
-    some_null = absent[0]
-    for a in absent[1:]:
-        some_null = some_null | a
+    out = tested.withColumn("payload", F.when(F.col("__is_event"), F.get("__doc", F.lit(0))))
+    some_null = F.lit(False)
+    for n in spec.required_fields:
+        some_null = some_null | F.col("payload")[n].isNull()
     # A field may be null but must be there; keys are listed only for rows with a null field.
     required = F.array(*[F.lit(n) for n in sorted(spec.required_fields)])
     keys = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
     missing = F.array_except(required, keys)
     missing_text = F.concat(F.lit(MISSING + "['"), F.array_join(missing, "', '"), F.lit("']"))
     error = (
-        F.when(~is_event & ~looks_object & is_json, NOT_OBJECT)
-        .when(~is_event, JSON_ERROR)
+        F.when(~F.col("__is_event") & ~looks_object & is_json, NOT_OBJECT)
+        .when(~F.col("__is_event"), JSON_ERROR)
         .when(some_null & (F.size(missing) > 0), missing_text)
     )
-    return out.withColumn("decode_error", error).drop("__doc")
+    return out.withColumn("decode_error", error).drop("__doc", "__is_event")
 
 
 def route(
@@ -107,15 +105,16 @@ def route(
         raise ValueError(f"threshold must be in [0, 1], is {threshold}")
     decoded = decode(df, spec, value)
     payload = F.col("payload")
-    typed, clean_error = typed_columns(spec, source=lambda n: payload[n], target="optional")
-    usable = F.col("decode_error").isNull()
-    cleaned = decoded.select(
+    rows = typed(
+        decoded, spec, source=lambda n: payload[n], target="optional", also=F.col("decode_error")
+    )
+    cleaned = rows.select(
         *df.columns,
         payload[spec.id].alias("event_key"),
         C.ground_truth(payload[spec.target_raw]).alias("actual"),
         payload["event_ts"].alias("event_ts"),
-        *[typed[c].alias(c) for c in spec.features],
-        F.coalesce(F.col("decode_error"), F.when(usable, clean_error)).alias("row_error"),
+        *[F.col("typed")[c].alias(c) for c in spec.features],
+        F.col(ERROR).alias("row_error"),
     )
     scored = scorer(cleaned)
     p = F.col("probability")
