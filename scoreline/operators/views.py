@@ -37,7 +37,9 @@ def latest_per_key(
 
 
 def _share(test: Column, digits: int = 2) -> Column:
-    return round_half_even(F.count_if(test) / F.count(F.lit(1)) * 100, digits)
+    """Percent of rows, null for no rows."""
+    n = F.count(F.lit(1))
+    return round_half_even(F.count_if(test) / F.when(n > 0, n) * 100, digits)
 
 
 def _segment(segment: str) -> Column:
@@ -133,7 +135,7 @@ def score_batch_summary(df: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     return df.agg(
         n.alias("count"),
-        round_half_even(yes / n, 4).alias("churn_rate"),
+        round_half_even(yes / F.when(n > 0, n), 4).alias("churn_rate"),
         round_half_even(F.avg("churn_probability"), 4).alias("mean_probability"),
     )
 

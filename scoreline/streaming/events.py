@@ -87,6 +87,30 @@ def decode(df: DataFrame, spec: FeatureSpec, value: str = "value") -> DataFrame:
     return out.withColumn("decode_error", error).drop("__doc", "__is_event")
 
 
+def _typed_events(df: DataFrame, spec: FeatureSpec, value: str) -> DataFrame:
+    payload = F.col("payload")
+    return typed(
+        decode(df, spec, value),
+        spec,
+        source=lambda n: payload[n],
+        target="optional",
+        also=F.col("decode_error"),
+    )
+
+
+def feature_rows(df: DataFrame, spec: FeatureSpec, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Raw events as typed feature rows, and the rejected events with their error.
+
+    One bad event costs only itself, not the window it came in.
+    """
+    rows = _typed_events(df, spec, value)
+    good = rows.where(F.col(ERROR).isNull()).select(
+        F.col("payload")[spec.id].alias(spec.id), *[F.col("typed")[c].alias(c) for c in spec.features]
+    )
+    bad = rows.where(F.col(ERROR).isNotNull()).select(*df.columns, F.col(ERROR).alias("error"))
+    return good, bad
+
+
 def route(
     df: DataFrame,
     spec: FeatureSpec,
@@ -103,11 +127,8 @@ def route(
     """
     if isinstance(threshold, float) and not 0.0 <= threshold <= 1.0:
         raise ValueError(f"threshold must be in [0, 1], is {threshold}")
-    decoded = decode(df, spec, value)
     payload = F.col("payload")
-    rows = typed(
-        decoded, spec, source=lambda n: payload[n], target="optional", also=F.col("decode_error")
-    )
+    rows = _typed_events(df, spec, value)
     cleaned = rows.select(
         *df.columns,
         payload[spec.id].alias("event_key"),

@@ -138,7 +138,10 @@ def ingest_stream(
         arrival = F.monotonically_increasing_id()
         parsed = batch.select(
             "value", arrival.alias("arrival"), F.from_json("value", schema).alias("m")
-        ).select("value", "arrival", F.expr("m.*"))
+        ).select("value", "arrival", "m.*")
+        # The other spelling of the segment differs in case only, so it is no column of its own.
+        other = F.get_json_object("value", "$.contract")
+        parsed = parsed.withColumn("Contract", F.coalesce(F.nullif("Contract", F.lit("")), other))
         typed = merge.message_to_row(parsed).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             bad = typed.where(F.col("row_error").isNotNull()).select("value", "row_error")
