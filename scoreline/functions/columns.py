@@ -155,6 +155,11 @@ def round_half_even(c: Column, digits: int) -> Column:
     return F.when(F.abs(x) < 1e11, rounded).otherwise(x)
 
 
+def count_where(test: Column) -> Column:
+    """Rows that pass a test."""
+    return F.count(F.when(test, F.lit(1)))
+
+
 def guarded_ratio(top: Column, bottom: Column) -> Column:
     """Division that answers 0 where the denominator is 0."""
     return F.when(bottom == 0, F.lit(0.0)).otherwise(top / F.when(bottom != 0, bottom))

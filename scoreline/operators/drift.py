@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreline.functions.columns import psi_band
+from scoreline.functions.columns import count_where, psi_band
 from scoreline.functions.pvalues import chi_square_p, ks_p
 from scoreline.operators import prefix
 
@@ -46,9 +46,9 @@ def value_counts(
     if kind == "double":
         both = both.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
     counts = both.groupBy("feature", "value").agg(
-        F.count_if(F.col("side") == 0).alias("ref_n"), F.count_if(F.col("side") == 1).alias("cur_n")
+        count_where(F.col("side") == 0).alias("ref_n"), count_where(F.col("side") == 1).alias("cur_n")
     )
-    return prefix.settle(counts, "value", ["feature"])
+    return prefix.settle(counts, "value")
 
 
 def _psi_term(ref_n: Column, cur_n: Column, ref_total: Column, cur_total: Column) -> Column:
@@ -65,7 +65,7 @@ def _feature_totals(counts: DataFrame) -> DataFrame:
         F.sum("cur_n").alias("cur_rows"),
         F.sum(F.when(present, F.col("ref_n")).otherwise(0)).alias("ref_values"),
         F.sum(F.when(present, F.col("cur_n")).otherwise(0)).alias("cur_values"),
-        F.count_if(present & (F.col("ref_n") + F.col("cur_n") > 0)).alias("n_values"),
+        count_where(present & (F.col("ref_n") + F.col("cur_n") > 0)).alias("n_values"),
     )
 
 
@@ -155,9 +155,9 @@ def _categorical(counts: DataFrame) -> DataFrame:
     for fewer than two categories or an empty side; with one degree of freedom it carries
     Yates' correction.
     """
-    totals = _feature_totals(counts)
     # One row per monitored column.
-    rows = counts.where(F.col("value").isNotNull()).join(F.broadcast(totals), "feature")
+    rows = counts.join(F.broadcast(_feature_totals(counts)), "feature")
+    present = F.col("value").isNotNull()
     term = _psi_term(
         F.col("ref_n"),
         F.col("cur_n"),
@@ -174,15 +174,11 @@ def _categorical(counts: DataFrame) -> DataFrame:
         return gap * gap / F.when(expected > 0, expected)
 
     chi = cell(F.col("ref_n"), F.col("ref_values")) + cell(F.col("cur_n"), F.col("cur_values"))
-    sums = rows.groupBy("feature").agg(F.sum(term).alias("psi"), F.sum(chi).alias("chi"))
     usable = (F.col("n_values") >= 2) & (F.col("ref_values") > 0) & (F.col("cur_values") > 0)
-    return totals.join(F.broadcast(sums), "feature", "left").select(
-        "feature",
-        F.coalesce("psi", F.lit(0.0)).alias("psi"),
-        F.when(usable, F.col("chi")).alias("chi_square"),
-        F.when(usable, F.col("n_values") - 1).alias("dof"),
-        "ref_rows",
-        "cur_rows",
+    return rows.groupBy("feature", "n_values", "cur_rows").agg(
+        F.coalesce(F.sum(F.when(present, term)), F.lit(0.0)).alias("psi"),
+        F.sum(F.when(present & usable, chi)).alias("chi_square"),
+        F.max(F.when(usable, F.col("n_values") - 1)).alias("dof"),
     )
 
 

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreline.functions.columns import guarded_ratio
+from scoreline.functions.columns import count_where, guarded_ratio
 from scoreline.operators import prefix
 
+CELLS = ("tn", "fp", "fn", "tp")
 METRICS = ("accuracy", "precision", "recall", "f1")
 
 
@@ -27,7 +28,7 @@ def confusion(
 ) -> DataFrame:
     """tn, fp, fn, tp in one aggregate."""
     return df.groupBy(*groups).agg(
-        *[F.count_if(test).alias(name) for name, test in _cells(label, predicted).items()]
+        *[count_where(test).alias(name) for name, test in _cells(label, predicted).items()]
     )
 
 
@@ -49,14 +50,32 @@ def classification_metrics(
 
 
 def score_counts(
-    df: DataFrame, label: Column, score: Column, groups: Sequence[str] = ()
+    df: DataFrame,
+    label: Column,
+    score: Column,
+    groups: Sequence[str] = (),
+    predicted: Column | None = None,
+    at: str | None = None,
 ) -> DataFrame:
-    """Positives and negatives per distinct score: combined on the map side before any shuffle."""
-    return (
-        df.groupBy(*groups, score.cast("double").alias("score"))
-        .agg(F.count_if(label == 1).alias("pos"), F.count_if(label == 0).alias("neg"))
-        .where(F.col("score").isNotNull() & ~F.isnan("score"))
+    """One row per distinct score: pos, neg, and on request the confusion cells and time span.
+
+    Combined on the map side before the only shuffle of the labelled rows.
+    """
+    flat = df.select(
+        *groups,
+        score.cast("double").alias("score"),
+        label.cast("int").alias("label"),
+        *([predicted.cast("int").alias("predicted")] if predicted is not None else []),
+        *([F.col(at).alias("at")] if at else []),
     )
+    wanted = [count_where(F.col("label") == 1).alias("pos"), count_where(F.col("label") == 0).alias("neg")]
+    if predicted is not None:
+        cells = _cells(F.col("label"), F.col("predicted"))
+        wanted += [count_where(test).alias(name) for name, test in cells.items()]
+    if at:
+        wanted += [F.min("at").alias("first"), F.max("at").alias("last")]
+    usable = F.col("score").isNotNull() & ~F.isnan("score")
+    return flat.where(usable).groupBy(*groups, "score").agg(*wanted)
 
 
 def running_scores(
@@ -143,17 +162,11 @@ def full_metrics(
     A single scan for all groups: everything is first summed per distinct score. `groups` are
     a few known splits or windows, see prefix.cumulative().
     """
-    cells = _cells(label, predicted)
-    counts = df.groupBy(*groups, score.cast("double").alias("score")).agg(
-        F.count_if(label == 1).alias("pos"),
-        F.count_if(label == 0).alias("neg"),
-        *[F.count_if(test).alias(name) for name, test in cells.items()],
-    )
-    running = prefix.cumulative(
-        counts.where(F.col("score").isNotNull() & ~F.isnan("score")), "score", ["pos", "neg"], groups
-    ).withColumns(_curve_columns())
+    counts = score_counts(df, label, score, groups, predicted)
+    running = prefix.cumulative(counts, "score", ["pos", "neg"], groups)
+    running = running.withColumns(_curve_columns())
     one = running.groupBy(*groups).agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in cells],
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in CELLS],
         _area_roc().alias("roc_auc"),
         _average_precision().alias("pr_auc"),
         _trapezoid_pr().alias("pr_auc_trapezoid"),
@@ -179,22 +192,18 @@ def performance_report(
 
     Metrics are null when fewer than `min_labeled` rows carry a label.
     """
-    labelled = df.where(F.col(label).isNotNull())
-    truth = F.col(label).cast("int")
-    said = (F.col(predicted) == "Yes").cast("int")
-    counts = labelled.groupBy(F.col(score).cast("double").alias("score")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(at).alias("first"),
-        F.max(at).alias("last"),
-        F.count_if(truth == 1).alias("pos"),
-        F.count_if(truth == 0).alias("neg"),
-        *[F.count_if(test).alias(name) for name, test in _cells(truth, said).items()],
+    counts = score_counts(
+        df.where(F.col(label).isNotNull()),
+        F.col(label),
+        F.col(score),
+        predicted=F.col(predicted) == "Yes",
+        at=at,
     )
-    one = prefix.cumulative(counts.where(F.col("score").isNotNull()), "score", ["pos", "neg"]).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("sample_size"),
+    one = prefix.cumulative(counts, "score", ["pos", "neg"]).agg(
+        F.coalesce(F.sum(F.col("pos") + F.col("neg")), F.lit(0)).alias("sample_size"),
         F.min("first").alias("window_start"),
         F.max("last").alias("window_end"),
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tn", "fp", "fn", "tp")],
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in CELLS],
         _area_roc().alias("roc_auc"),
     )
     enough = F.col("sample_size") >= min_labeled

@@ -22,17 +22,17 @@ from scoreline.session import default_slices
 SAMPLE_PER_SLICE = 32
 
 
-def settle(counts: DataFrame, order: str, groups: Sequence[str] = ()) -> DataFrame:
+def settle(counts: DataFrame, order: str) -> DataFrame:
     """Lets all branches of a plan read the one shuffle that made `counts`.
 
     The branches filter on the value and need different counters. Pushed below the aggregate,
-    that would give each of them its own scan and shuffle of the source. Here the value depends
-    on all counters (the hash is a 64-bit number, so the test holds), which keeps the branches
-    equal down to the shuffle, and Spark reuses it.
+    that would give each of them its own scan and shuffle of the source. The test on the hash
+    always holds (it is a 64-bit number), but it makes every branch need every column, and makes
+    the value depend on the counters. The branches then are equal down to the shuffle, and Spark
+    reuses it.
     """
-    others = [c for c in counts.columns if c != order and c not in groups]
-    always = F.xxhash64(*others) >= F.lit(-(2**63))
-    return counts.withColumn(order, F.when(always, F.col(order)))
+    always = F.xxhash64(*counts.columns) >= F.lit(-(2**63))
+    return counts.where(always).withColumn(order, F.when(always, F.col(order)))
 
 
 def _locate(df: DataFrame, cuts: str, value: str, slices: int, out: str) -> DataFrame:
@@ -76,7 +76,7 @@ def cumulative(
     groups = list(groups)
     sums = list(sums)
     wanted = n * SAMPLE_PER_SLICE
-    counts = settle(counts, order, groups)
+    counts = settle(counts, order)
 
     totals = counts.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("__rows"), *[F.sum(s).alias(f"total_{s}") for s in sums]

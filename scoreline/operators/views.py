@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreline.functions.columns import risk_band, round_half_even
+from scoreline.functions.columns import count_where, risk_band, round_half_even
 
 UNKNOWN = "Unknown"
 
@@ -39,7 +39,7 @@ def latest_per_key(
 def _share(test: Column, digits: int = 2) -> Column:
     """Percent of rows, null for no rows."""
     n = F.count(F.lit(1))
-    return round_half_even(F.count_if(test) / F.when(n > 0, n) * 100, digits)
+    return round_half_even(count_where(test) / F.when(n > 0, n) * 100, digits)
 
 
 def _segment(segment: str) -> Column:
@@ -111,27 +111,26 @@ def row_count(df: DataFrame) -> DataFrame:
 
 def batch_summary(df: DataFrame, dead_letters: DataFrame | None = None) -> DataFrame:
     """Counters, share of Yes and mean score of a scored run; zeros when nothing was scored."""
-    n = F.count(F.lit(1))
-    scored = df.agg(
+    ok = df.select(F.lit(True).alias("ok"), "prediction", "churn_probability")
+    if dead_letters is not None:
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("prediction", "string"), ("churn_probability", "double"))]
+        ok = ok.unionByName(dead_letters.select(F.lit(False).alias("ok"), *none))
+    n = count_where(F.col("ok"))
+    yes = count_where(F.col("prediction") == "Yes")
+    return ok.agg(
+        F.count(F.lit(1)).alias("consumed"),
         n.alias("predicted"),
-        F.coalesce(_share(F.col("prediction") == "Yes"), F.lit(0.0)).alias("overall_churn_pct"),
+        count_where(~F.col("ok")).alias("dead_lettered"),
+        F.coalesce(round_half_even(yes / F.when(n > 0, n) * 100, 2), F.lit(0.0)).alias("overall_churn_pct"),
         F.coalesce(round_half_even(F.avg("churn_probability"), 4), F.lit(0.0)).alias(
             "mean_churn_probability"
         ),
     )
-    dead = F.lit(0).cast("bigint") if dead_letters is None else dead_letters.agg(n).scalar()
-    return scored.withColumn("dead_lettered", dead).select(
-        (F.col("predicted") + F.col("dead_lettered")).alias("consumed"),
-        "predicted",
-        "dead_lettered",
-        "overall_churn_pct",
-        "mean_churn_probability",
-    )
 
 
 def score_batch_summary(df: DataFrame) -> DataFrame:
     """Share of Yes as a fraction, and mean score."""
-    yes = F.count_if(F.col("prediction") == "Yes")
+    yes = count_where(F.col("prediction") == "Yes")
     n = F.count(F.lit(1))
     return df.agg(
         n.alias("count"),
@@ -160,16 +159,16 @@ def overview_kpis(
     ranked = latest.withColumn("__rank", F.row_number().over(order))
 
     def stats(prefix: str, inside: Column) -> list[Column]:
-        n = F.count_if(inside)
+        n = count_where(inside)
         some = F.when(n > 0, n)
         score = F.when(inside, F.col("churn_probability"))
         return [
             n.alias(f"{prefix}total"),
-            (F.count_if(inside & (F.col("prediction") == "Yes")) / some * 100).alias(
+            (count_where(inside & (F.col("prediction") == "Yes")) / some * 100).alias(
                 f"{prefix}churn_rate_pct"
             ),
             F.avg(score).alias(f"{prefix}avg_probability"),
-            F.count_if(score > high_risk).alias(f"{prefix}high_risk_count"),
+            count_where(score > high_risk).alias(f"{prefix}high_risk_count"),
         ]
 
     both = ranked.agg(
