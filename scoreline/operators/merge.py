@@ -48,10 +48,19 @@ def log_rows(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return df.where(F.col("row_error").isNull()).select(*keep, "row.*")
 
 
+def _with_key(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The key as one struct. Null fields of a struct compare equal, so one equi-join serves."""
+    return df.withColumn("__key", F.struct(*key))
+
+
 def last_of_batch(df: DataFrame, arrival: Sequence[str], key: Sequence[str] = KEY) -> DataFrame:
     """The last arrival per key; planned as a group limit ahead of the shuffle."""
-    order = Window.partitionBy(*key).orderBy(*[F.col(c).desc() for c in arrival])
-    ranked = df.withColumn("__rank", F.row_number().over(order))
+    return _last(_with_key(df, key), arrival).drop("__key")
+
+
+def _last(keyed: DataFrame, arrival: Sequence[str]) -> DataFrame:
+    order = Window.partitionBy("__key").orderBy(*[F.col(c).desc() for c in arrival])
+    ranked = keyed.withColumn("__rank", F.row_number().over(order))
     return ranked.where(F.col("__rank") == 1).drop("__rank")
 
 
@@ -60,15 +69,12 @@ def new_rows(
 ) -> DataFrame:
     """Rows to append: the batch's last row per key, minus keys the log already has.
 
-    Null timestamps compare equal, so a row without one is stored once per customer.
+    Null timestamps compare equal, so a row without one is stored once per customer. Ranking and
+    join use the same key column: the batch is shuffled once for both.
     """
-    fresh = last_of_batch(batch, arrival, key)
-    have = existing.select(*[F.col(k).alias(f"__{k}") for k in key])
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]
-    condition = same[0]
-    for c in same[1:]:
-        condition = condition & c
-    return fresh.join(have, condition, "left_anti")
+    fresh = _last(_with_key(batch, key), arrival)
+    have = _with_key(existing.select(*key), key).select("__key")
+    return fresh.join(have, "__key", "left_anti").drop("__key")
 
 
 def backfill(

@@ -16,8 +16,9 @@ def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
 
 
 def write_events(keyed: DataFrame, path: str, mode: str = "append") -> None:
-    """(key, value) rows as JSON lines, all rows of a key in one file and in input order."""
-    keyed.repartition("key").write.mode(mode).json(path)
+    """(key, value) rows as JSON lines. Partitions and their order stay as they are: moving all
+    rows of a key together would leave a frequent key to one task."""
+    keyed.write.mode(mode).json(path)
 
 
 def write_predictions_csv(scored: DataFrame, path: str, spec: FeatureSpec) -> None:

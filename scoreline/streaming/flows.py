@@ -55,8 +55,9 @@ def write_keyed(keyed: DataFrame, sink: Endpoint, batch_id: int) -> None:
     if sink.format == "kafka":
         keyed.select("key", "value").write.format("kafka").options(**sink.options).save()
         return
-    # One file per key range keeps the records of a key together.
-    out = keyed.repartition("key").write.mode("overwrite").format(sink.format)
+    # No shuffle: records keep the partition and order they were read in, which for a queue is
+    # the order of their key; a queue sink partitions by key itself.
+    out = keyed.write.mode("overwrite").format(sink.format)
     out.options(**sink.options).save(f"{sink.path}/batch_id={batch_id}")
 
 
