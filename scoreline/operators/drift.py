@@ -70,40 +70,27 @@ def _feature_totals(counts: DataFrame) -> DataFrame:
 
 
 def _profile(counts: DataFrame, buckets: int) -> DataFrame:
-    """Per feature: distinct reference quantiles and the widest gap of the two distributions."""
+    """Per feature: inner reference quantiles, widest gap of the distributions, sizes."""
     present = counts.where(F.col("value").isNotNull())
     running = prefix.cumulative(present, "value", ["ref_n", "cur_n"], ["feature"])
-    gap = F.abs(
-        F.col("cum_ref_n") / F.when(F.col("total_ref_n") > 0, F.col("total_ref_n"))
-        - F.col("cum_cur_n") / F.when(F.col("total_cur_n") > 0, F.col("total_cur_n"))
+    gap = F.expr(
+        "max(abs(cum_ref_n / if(total_ref_n > 0, total_ref_n, null)"
+        " - cum_cur_n / if(total_cur_n > 0, total_cur_n, null)))"
     )
-    out = prefix.quantiles(
-        running, "value", "ref_n", buckets, ["feature"], extra=[F.max(gap).alias("gap")]
-    )
-    return out.select("feature", F.array_distinct("quantiles").alias("points"), "gap")
-
-
-def _bucket_psi(counts: DataFrame, profile: DataFrame, totals: DataFrame) -> DataFrame:
-    """feature, psi over the buckets between the reference quantiles.
-
-    Buckets are half-open and the outer two have open ends, so a value's bucket is the number
-    of inner points <= value. Fewer than 3 points, or an empty side, give no row.
-    """
-    sizes = totals.select("feature", "ref_values", "cur_values")
-    points = profile.where(F.size("points") >= 3).select(
-        "feature", F.slice("points", F.lit(2), F.size("points") - 2).alias("inner")
-    )
-    # One row per monitored column, with at most `buckets` numbers.
-    steering = points.join(F.broadcast(sizes), "feature").where(
-        (F.col("ref_values") > 0) & (F.col("cur_values") > 0)
-    )
-    placed = counts.where(F.col("value").isNotNull()).join(F.broadcast(steering), "feature")
-    bucket = F.size(F.filter("inner", lambda p: p <= F.col("value")))
-    per_bucket = placed.groupBy("feature", bucket.alias("bucket"), "ref_values", "cur_values").agg(
-        F.sum("ref_n").alias("ref_n"), F.sum("cur_n").alias("cur_n")
+    extra = [
+        gap.alias("gap"),
+        F.max("total_ref_n").alias("ref_values"),
+        F.max("total_cur_n").alias("cur_values"),
+    ]
+    out = prefix.quantiles(running, "value", "ref_n", buckets, ["feature"], extra)
+    # The outer two points are open ends; fewer than three leave a single bucket, whose PSI is 0.
+    return out.withColumn("points", F.array_distinct("quantiles")).select(
+        "feature",
+        F.expr("slice(points, 2, greatest(size(points) - 2, 0))").alias("inner"),
+        "gap",
+        "ref_values",
+        "cur_values",
     )
-    term = _psi_term(F.col("ref_n"), F.col("cur_n"), F.col("ref_values"), F.col("cur_values"))
-    return per_bucket.groupBy("feature").agg(F.sum(term).alias("psi"))
 
 
 def numeric_drift(
@@ -111,23 +98,25 @@ def numeric_drift(
 ) -> DataFrame:
     """feature, psi, ks_d, n_reference, n_current, cur_rows for all columns in one job.
 
-    psi is 0 where a side is empty or the reference has fewer than 3 distinct quantiles; ks_d is
-    0 when a side has fewer than 2 values. Statistics the caller does not select cost nothing.
+    Buckets lie between the reference quantiles, half-open with open ends: a value's bucket is
+    the number of inner points <= value. psi is 0 where a side is empty or the reference has
+    fewer than 3 distinct quantiles; ks_d is 0 when a side has fewer than 2 values.
     """
     counts = value_counts(reference, current, columns, "double")
-    totals = _feature_totals(counts)
-    profile = _profile(counts, buckets)
-    psi = _bucket_psi(counts, profile, totals)
-    enough = (F.col("ref_values") >= 2) & (F.col("cur_values") >= 2)
-    # All three have one row per monitored column.
-    joined = totals.join(F.broadcast(profile.select("feature", "gap")), "feature", "left")
-    return joined.join(F.broadcast(psi), "feature", "left").select(
-        "feature",
-        F.coalesce("psi", F.lit(0.0)).alias("psi"),
-        F.when(enough, F.col("gap")).otherwise(0.0).alias("ks_d"),
-        F.col("ref_values").alias("n_reference"),
-        F.col("cur_values").alias("n_current"),
-        "cur_rows",
+    # One row per monitored column, with at most `buckets` numbers.
+    placed = counts.join(F.broadcast(_profile(counts, buckets)), "feature", "left")
+    bucket = F.expr("if(value is not null, size(filter(inner, p -> p <= value)), null)")
+    per_bucket = placed.groupBy("feature", bucket.alias("bucket"), "gap", "ref_values", "cur_values").agg(
+        F.sum("ref_n").alias("ref_n"), F.sum("cur_n").alias("cur_n")
+    )
+    term = _psi_term(F.col("ref_n"), F.col("cur_n"), F.col("ref_values"), F.col("cur_values"))
+    usable = F.expr("bucket is not null and ref_values > 0 and cur_values > 0")
+    return per_bucket.groupBy("feature").agg(
+        F.coalesce(F.sum(F.when(usable, term)), F.lit(0.0)).alias("psi"),
+        F.expr("coalesce(max(if(ref_values >= 2 and cur_values >= 2, gap, null)), 0D)").alias("ks_d"),
+        F.expr("coalesce(max(ref_values), 0L)").alias("n_reference"),
+        F.expr("coalesce(max(cur_values), 0L)").alias("n_current"),
+        F.sum("cur_n").alias("cur_rows"),
     )
 
 

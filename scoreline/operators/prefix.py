@@ -73,52 +73,41 @@ def cumulative(
     n = slices or default_slices(counts.sparkSession)
     if n & (n - 1):
         raise ValueError("slices must be a power of two")
-    groups = list(groups)
-    sums = list(sums)
-    wanted = n * SAMPLE_PER_SLICE
+    groups, sums = list(groups), list(sums)
     counts = settle(counts, order)
 
-    totals = counts.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("__rows"), *[F.sum(s).alias(f"total_{s}") for s in sums]
-    )
-    totals = _attach(counts, totals, groups)
-
     # Uniform in [0, 1) per value, the same wherever it is evaluated.
-    spread = F.pmod(F.xxhash64(F.col(order)), F.lit(1 << 30)) / float(1 << 30)
-    picked = totals.where(spread * F.col("__rows") < wanted)
+    spread = F.expr(f"pmod(xxhash64(`{order}`), {1 << 30}) / {1 << 30}D")
+    sizes = counts.groupBy(*groups).agg(F.count(F.lit(1)).alias("__rows"))
+    picked = _attach(counts, sizes, groups).where(spread * F.col("__rows") < n * SAMPLE_PER_SLICE)
     sample = picked.groupBy(*groups).agg(F.sort_array(F.collect_list(order)).alias("__sample"))
-    size = F.size("__sample")
-    at = F.transform(
-        F.sequence(F.lit(1), F.lit(n - 1)),
-        lambda i: F.get(F.col("__sample"), F.floor(i * size / n).cast("int")),
+    cuts = sample.select(
+        *groups,
+        F.expr(
+            f"transform(sequence(1, {max(n - 1, 1)}),"
+            f" i -> get(__sample, cast(floor(i * size(__sample) / {n}) as int)))"
+        ).alias("__cuts"),
     )
-    cuts = sample.select(*groups, at.alias("__cuts"))
-    placed = _locate(_attach(totals, cuts, groups), "__cuts", order, n, "__slice")
-    placed = placed.drop("__cuts", "__rows")
-
-    before = Window.orderBy("__slice") if not groups else Window.partitionBy(*groups).orderBy("__slice")
-    before = before.rowsBetween(Window.unboundedPreceding, -1)
-    # At most `slices` rows per group: this window is small by construction.
-    offsets = (
-        placed.groupBy(*groups, "__slice")
-        .agg(*[F.sum(s).alias(s) for s in sums])
-        .select(
-            *groups,
-            "__slice",
-            *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"__before_{s}") for s in sums],
-        )
+    placed = _locate(_attach(counts, cuts, groups), "__cuts", order, n, "__slice").drop("__cuts")
+
+    # At most `slices` rows per group: these windows are small by construction.
+    whole = Window.partitionBy(*groups)
+    before = whole.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    per_slice = placed.groupBy(*groups, "__slice").agg(*[F.sum(s).alias(s) for s in sums])
+    offsets = per_slice.select(
+        *groups,
+        "__slice",
+        *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"__before_{s}") for s in sums],
+        *[F.sum(s).over(whole).alias(f"total_{s}") for s in sums],
     )
-    inside = (
-        Window.partitionBy(*groups, "__slice")
-        .orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*groups, "__slice").orderBy(order)
+    inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = placed.select("*", *[F.sum(s).over(inside).alias(f"__in_{s}") for s in sums])
+    return running.join(F.broadcast(offsets), [*groups, "__slice"]).select(
+        *counts.columns,
+        *[(F.col(f"__in_{s}") + F.col(f"__before_{s}")).alias(f"cum_{s}") for s in sums],
+        *[F.col(f"total_{s}") for s in sums],
     )
-    running = placed.withColumns({f"__in_{s}": F.sum(s).over(inside) for s in sums})
-    joined = running.join(F.broadcast(offsets), [*groups, "__slice"])
-    out: list[Column] = [F.col(c) for c in counts.columns]
-    out += [(F.col(f"__in_{s}") + F.col(f"__before_{s}")).alias(f"cum_{s}") for s in sums]
-    out += [F.col(f"total_{s}") for s in sums]
-    return joined.select(*out)
 
 
 def quantiles(
@@ -135,42 +124,34 @@ def quantiles(
     Only the rows that cover one of the needed ranks are gathered, about 2 * buckets per group.
     `extra` aggregates over all rows are computed in the same pass.
     """
-    total, upto = F.col(f"total_{count}"), F.col(f"cum_{count}")
-    start = upto - F.col(count)
-    span = F.when(total > 1, total - 1)
+    total, after, first = f"total_{count}", f"cum_{count}", f"(cum_{count} - {count})"
+    span = f"if({total} > 1, {total} - 1, null)"
 
     # How many of the lower (upper) ranks of the quantiles are <= x. A row is needed when that
     # number grows across it; one rank of slack on both sides absorbs rounding.
-    def lower(x: Column) -> Column:
-        return F.least(F.ceil((x + 1) * buckets / span) - 1, F.lit(buckets))
+    def lower(x: str) -> str:
+        return f"least(ceil(({x} + 1) * {buckets} / {span}) - 1, {buckets})"
 
-    def upper(x: Column) -> Column:
-        return F.least(F.floor(x * buckets / span), F.lit(buckets))
+    def upper(x: str) -> str:
+        return f"least(floor({x} * {buckets} / {span}), {buckets})"
 
     hit = (
-        (lower(upto) > lower(start - 2))
-        | (upper(upto) > upper(start - 2))
-        | (total <= 1)
-        | (start <= 1)
-        | (upto >= total - 1)
+        f"{lower(after)} > {lower(first + ' - 2')} or {upper(after)} > {upper(first + ' - 2')}"
+        f" or {total} <= 1 or {first} <= 1 or {after} >= {total} - 1"
     )
-    row = F.struct(start.alias("first"), upto.alias("after"), F.col(order).alias("v"))
-    needed = F.when((F.col(count) > 0) & hit, row)
+    row = f"struct({first} as first, {after} as after, `{order}` as v)"
     packed = running.groupBy(*groups).agg(
-        F.sort_array(F.collect_list(needed)).alias("__rows"), F.max(total).alias("__n"), *extra
+        F.expr(f"sort_array(collect_list(if({count} > 0 and ({hit}), {row}, null)))").alias("__rows"),
+        F.expr(f"max({total})").alias("__n"),
+        *extra,
     )
 
-    def at(rank: Column) -> Column:
-        covers = F.filter("__rows", lambda r: (rank >= r["first"]) & (rank < r["after"]))
-        return F.get(covers, F.lit(0))["v"]
-
-    def value(k: Column) -> Column:
-        position = k * (F.col("__n") - 1)
-        low = F.floor(position / buckets)
-        part = (position % buckets) / buckets
-        a = at(low)
-        b = at(F.when(part > 0, low + 1).otherwise(low))
-        return a + (b - a) * part
+    def at(rank: str) -> str:
+        return f"get(filter(__rows, r -> {rank} >= r.first and {rank} < r.after), 0).v"
 
-    ks = F.sequence(F.lit(0).cast("bigint"), F.lit(buckets).cast("bigint"))
-    return packed.withColumn("quantiles", F.transform(ks, value)).drop("__rows", "__n")
+    position = "k * (__n - 1)"
+    low, part = f"({position}) div {buckets}", f"({position}) % {buckets}"
+    high = f"(({low}) + if({part} > 0, 1, 0))"
+    value = f"{at(f'({low})')} + ({at(high)} - {at(f'({low})')}) * ({part}) / {buckets}"
+    points = F.expr(f"transform(sequence(0L, {buckets}L), k -> {value})")
+    return packed.select(*groups, points.alias("quantiles"), *packed.columns[len(groups) + 2 :])
