@@ -151,6 +151,24 @@ def test_a_repeated_batch_overwrites_itself(spark, tmp_path):
     assert flows.read_output(spark, out, "predictions").count() == 2
 
 
+def test_progress_is_kept(spark, tmp_path):
+    import time
+
+    topic, listener = str(tmp_path / "topic"), flows.Progress(keep=1)
+    for i in range(2):
+        write_topic(spark, topic, [event(i), event(i + 10)])
+    spark.streams.addListener(listener)
+    try:
+        flows.score_stream(source(spark, topic), TELCO, fixed(0.7), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+        for _ in range(50):
+            if listener.batches:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert len(listener.batches) == 1 and listener.batches[0]["rows"] in (0, 2)
+
+
 def test_dry_run_writes_nothing(spark, tmp_path):
     topic, out = str(tmp_path / "topic"), tmp_path / "out"
     write_topic(spark, topic, [event(i) for i in range(4)])
