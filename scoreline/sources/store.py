@@ -53,6 +53,14 @@ TABLES: dict[str, T.StructType] = {
 PARTITIONS = {"predictions": ["processed_date"]}
 
 
+def _rebalanced(df: DataFrame, table: str) -> DataFrame:
+    """Rows of a day together, large days split and small ones joined by their actual size.
+
+    Otherwise every task would write a file into every day.
+    """
+    return df.hint("rebalance", *[F.col(c) for c in PARTITIONS[table]])
+
+
 class Store:
     """Tables under one folder of any file system Spark can write."""
 
@@ -92,10 +100,11 @@ class Store:
     def append(self, table: str, df: DataFrame) -> None:
         schema = TABLES[table]
         shaped = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-        writer = shaped.write.mode("append")
         if table in PARTITIONS:
-            writer = writer.partitionBy(*PARTITIONS[table])
-        writer.parquet(self.location(table))
+            by_day = _rebalanced(shaped, table).write.partitionBy(*PARTITIONS[table])
+            by_day.mode("append").parquet(self.location(table))
+        else:
+            shaped.write.mode("append").parquet(self.location(table))
 
     def merge_predictions(self, rows: DataFrame, arrival: list[str]) -> int:
         """Appends the rows whose (customer_id, processed_ts) is new; returns their number.
@@ -147,9 +156,9 @@ class Store:
             chosen = chosen | day.isNull()
         staging = fresh_dir(self.spark, "backfill")
         merge.backfill(log.where(chosen), source, column, arrival=arrival).write.parquet(staging)
+        filled = self.spark.read.schema(TABLES["predictions"]).parquet(staging)
         (
-            self.spark.read.schema(TABLES["predictions"])
-            .parquet(staging)
+            _rebalanced(filled, "predictions")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*PARTITIONS["predictions"])
