@@ -11,7 +11,7 @@ suffix in some 85 stands for all. Three steps leave little to sort:
 3. Of the others, one suffix for each distinct surroundings is dealt out by ranges of its leading
    bytes, with splitters that Spark samples. Buckets are sorted by multikey quicksort, and equal
    neighbours are repeated windows. A gram at the edge of a bucket may go on in the next one: its
-   windows are compared across the boundary by their hash, so a gram of any size is split.
+   windows are compared across the boundary by hash, so a gram of any size is split.
 
 Hashes only choose anchors and name surroundings (64 bits within one gram).
 """
@@ -36,6 +36,9 @@ SPAN = LENGTH - GRAM + 1  # grams in a window
 PLACE_BITS = 21
 BUCKET_BYTES = 8 << 20
 WINDOWS_AT_ONCE = 1 << 19
+#: Offsets [low, high] of windows: an equal window has the same `low` bytes before the anchor and
+#: the same LENGTH - high bytes from it on.
+LEVELS = [(0, 0), *((1 << k, min(2 << k, SPAN) - 1) for k in range(8))]
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
@@ -182,7 +185,8 @@ def _blocks(gram: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> Iterator[tuple[
 
 def sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One bucket of distinct surroundings: kind 0, the runs [a, b] of offsets whose windows are
-    repeated; kind 1, the windows of the grams at the bucket's edges as (offset, hash)."""
+    repeated; kind 1, for the grams at the bucket's edges the hash of what a partner in another
+    bucket must share, by level."""
     table = pa.Table.from_batches(list(batches))
     if not table.num_rows:
         return
@@ -213,16 +217,52 @@ def sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = np.flatnonzero(new)
             yield out(0, k[first], o[first], o[np.r_[first[1:], len(o)] - 1])
     suffix = [t[h:] for t, h in zip(text, hi.tolist())]
-    for k in {int(gram[suffix.index(min(suffix))]), int(gram[suffix.index(max(suffix))])}:
-        rows = np.flatnonzero(gram == k)
-        for owner, offset in _blocks(np.zeros(len(rows), np.int64), hi[rows], lo[rows]):
-            owner = rows[owner]
-            seen: dict[tuple[int, int], int] = {}
-            for r, o, s in zip(owner.tolist(), offset.tolist(), (base[owner] + hi[owner] - offset).tolist()):
-                seen.setdefault((o, xxhash.xxh3_64_intdigest(data[s : s + LENGTH].tobytes())), r)
-            if seen:
-                o, w = np.array(list(seen), np.uint64).T
-                yield out(1, np.array(list(seen.values())), o, w.view(np.int64))
+    edges = {int(gram[suffix.index(min(suffix))]), int(gram[suffix.index(max(suffix))])}
+    rows = np.flatnonzero(np.isin(gram, list(edges)))
+    for i in range(0, len(rows), 4096):
+        at, level, around = [], [], []
+        for r in rows[i : i + 4096].tolist():
+            for j, (low, high) in enumerate(LEVELS):
+                if low <= hi[r] and high >= lo[r]:
+                    h = int(hi[r])
+                    part = text[r][max(0, h - low) : h + LENGTH - high]
+                    at.append(r)
+                    level.append(j)
+                    around.append(xxhash.xxh3_64_intdigest(part, low))
+        yield out(1, np.array(at, np.int64), np.array(level), np.array(around, np.uint64).view(np.int64))
+
+
+def across_edges(contexts: DataFrame, edge: DataFrame) -> DataFrame:
+    """Runs [a, a] of windows that are repeated in another bucket. edge: kind 1 of sort_bucket.
+
+    A partner of a window must share the bytes of its level; only windows that have one there are
+    looked at one by one. Both times equal hashes are counted first, and joined from a table, so a
+    hash that very many surroundings share is split.
+    """
+    counts = cut(edge.groupBy("g", "a", "b").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "levels")
+    some = edge.join(counts, ["g", "a", "b"]).groupBy("g", "c").agg(F.collect_set("a").alias("levels"))
+    rows = contexts.dropDuplicates(["g", "c"]).join(some, ["g", "c"]).select("g", "c", "p", "ctx", "levels")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            g, c, p = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            at, offsets, hashes = [], [], []
+            for i, (text, levels) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist())):
+                hi, lo = int(p[i]) >> 8 & 255, int(p[i]) & 255
+                for j in levels:
+                    for o in range(max(lo, LEVELS[j][0]), min(hi, LEVELS[j][1]) + 1):
+                        at.append(i)
+                        offsets.append(o)
+                        hashes.append(xxhash.xxh3_64_intdigest(text[hi - o : hi - o + LENGTH]))
+            at = np.array(at, np.int64)
+            w = np.array(hashes, np.uint64).view(np.int64)
+            arrays = [pa.array(x) for x in (g[at], c[at], np.array(offsets, np.int64), w)]
+            yield pa.RecordBatch.from_arrays(arrays, ["g", "c", "o", "w"])
+
+    windows = cut(rows.mapInArrow(run, "g long, c long, o long, w long"), "windows")
+    often = cut(windows.groupBy("g", "o", "w").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "windows")
+    found = windows.join(often, ["g", "o", "w"])
+    return found.select("g", "c", F.col("o").alias("a"), F.col("o").alias("b"))
 
 
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
@@ -283,9 +323,8 @@ def repeats(packed: DataFrame, rows: DataFrame) -> DataFrame:
     leading = F.expr("substring(ctx, int((p >> 8) & 255) + 1)")
     dealt = contexts.repartitionByRange(buckets, leading, "c")
     runs = cut(dealt.mapInArrow(sort_bucket, "kind int, g long, c long, a long, b long"), "runs")
-    edge = runs.where("kind > 0").groupBy("g", "a", "b").agg(F.collect_set("c").alias("cs")).where("size(cs) > 1")
-    edge = edge.select("g", F.explode("cs").alias("c"), "a", F.col("a").alias("b"))
-    runs = cut(runs.where("kind = 0").select("g", "c", "a", "b").union(edge), "runs")
+    inside = runs.where("kind = 0").select("g", "c", "a", "b")
+    runs = cut(inside.union(across_edges(contexts, runs.where("kind = 1"))), "runs")
     place = F.expr("p >> 16")
     some = mixed.join(runs, ["g", "c"]).select(
         "k1", "k2", (place - F.col("b")).alias("s"), (place - F.col("a") + LENGTH).alias("e")
