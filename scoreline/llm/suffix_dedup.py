@@ -135,10 +135,11 @@ def anchors(rows: DataFrame) -> DataFrame:
     return rows.select("text", "k1", "k2").mapInArrow(run, "g long, c long, k1 long, k2 int, p long")
 
 
-def repeated_windows(view: np.ndarray, starts: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Which of the windows equal another one of the same label: multikey quicksort, eight bytes of
-    the key at a time over all windows that still have an equal neighbour."""
-    out = np.zeros(len(starts), bool)
+def repeated_windows(view: np.ndarray, starts: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the windows equal another one of the same label, and the first of each such class:
+    multikey quicksort, eight bytes of the key at a time over all windows that still have an equal
+    neighbour."""
+    out, one = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
     order = np.argsort(label, kind="stable")
     at, label = order, label[order]
     for depth in range(0, LENGTH, 8):
@@ -147,7 +148,7 @@ def repeated_windows(view: np.ndarray, starts: np.ndarray, label: np.ndarray) ->
         keep = np.bincount(label)[label] > 1
         at, label = at[keep], label[keep]
         if not len(at):
-            return out
+            return out, one
         new = np.r_[True, label[1:] != label[:-1]]
         label = np.cumsum(new) - 1
         word = view[starts[at] + depth].astype(np.uint64)
@@ -161,8 +162,10 @@ def repeated_windows(view: np.ndarray, starts: np.ndarray, label: np.ndarray) ->
             at, label = np.r_[at[~mixed], a], np.r_[label[~mixed], k]
     new = np.r_[True, label[1:] != label[:-1]]
     label = np.cumsum(new) - 1
-    out[at[np.bincount(label)[label] > 1]] = True
-    return out
+    many = np.bincount(label)[label] > 1
+    out[at[many]] = True
+    one[at[many & new]] = True
+    return out, one
 
 
 def _blocks(gram: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -202,55 +205,68 @@ def sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     view = _words(data, ">")
     gram = np.cumsum(np.r_[True, g[1:] != g[:-1]]) - 1
 
-    def out(kind: int, rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    def out(kind: int, rows: np.ndarray, a: np.ndarray, b: np.ndarray, windows: list | None = None) -> pa.RecordBatch:
         arrays = [np.full(len(rows), kind, np.int32), g[rows], c[rows], a.astype(np.int64), b.astype(np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["kind", "g", "c", "a", "b"])
+        bits = pa.array(windows if windows is not None else [None] * len(rows), pa.binary())
+        return pa.RecordBatch.from_arrays([*map(pa.array, arrays), bits], ["kind", "g", "c", "a", "b", "windows"])
 
+    suffix = [t[h:] for t, h in zip(text, hi.tolist())]
+    edges = {int(gram[suffix.index(min(suffix))]), int(gram[suffix.index(max(suffix))])}
+    at_edge = np.flatnonzero(np.isin(gram, list(edges)))
+    number = np.full(len(gram), -1)
+    number[at_edge] = np.arange(len(at_edge))
+    # windows of these that stand for themselves or for their class in the other buckets
+    open_windows = np.zeros((len(at_edge), SPAN), bool)
     all_repeated = np.flatnonzero(n > 1)
     yield out(0, all_repeated, lo[all_repeated], hi[all_repeated])
     for owner, offset in _blocks(gram, hi, lo):
         start = base[owner] + hi[owner] - offset
-        found = np.flatnonzero(repeated_windows(view, start, gram[owner] << 8 | offset))
+        again, one = repeated_windows(view, start, gram[owner] << 8 | offset)
+        left = np.flatnonzero((number[owner] >= 0) & (one | ~again))
+        open_windows[number[owner[left]], offset[left]] = True
+        found = np.flatnonzero(again)
         if len(found):
             o, k = offset[found], owner[found]
             new = np.r_[True, (k[1:] != k[:-1]) | (o[1:] != o[:-1] + 1)]
             first = np.flatnonzero(new)
             yield out(0, k[first], o[first], o[np.r_[first[1:], len(o)] - 1])
-    suffix = [t[h:] for t, h in zip(text, hi.tolist())]
-    edges = {int(gram[suffix.index(min(suffix))]), int(gram[suffix.index(max(suffix))])}
-    rows = np.flatnonzero(np.isin(gram, list(edges)))
-    for i in range(0, len(rows), 4096):
+    for i in range(0, len(at_edge), 4096):
         at, level, around = [], [], []
-        for r in rows[i : i + 4096].tolist():
+        for r in at_edge[i : i + 4096].tolist():
             for j, (low, high) in enumerate(LEVELS):
-                if low <= hi[r] and high >= lo[r]:
-                    h = int(hi[r])
-                    part = text[r][max(0, h - low) : h + LENGTH - high]
+                if open_windows[number[r], low : high + 1].any():
+                    part = text[r][hi[r] - low : hi[r] + LENGTH - high]
                     at.append(r)
                     level.append(j)
                     around.append(xxhash.xxh3_64_intdigest(part, low))
-        yield out(1, np.array(at, np.int64), np.array(level), np.array(around, np.uint64).view(np.int64))
+        bits = np.packbits(open_windows[number[np.array(at, np.int64)]], axis=1)
+        yield out(
+            1, np.array(at, np.int64), np.array(level), np.array(around, np.uint64).view(np.int64), list(map(bytes, bits))
+        )
 
 
 def across_edges(contexts: DataFrame, edge: DataFrame) -> DataFrame:
     """Runs [a, a] of windows that are repeated in another bucket. edge: kind 1 of sort_bucket.
 
-    A partner of a window must share the bytes of its level; only windows that have one there are
-    looked at one by one. Both times equal hashes are counted first, and joined from a table, so a
+    A partner of a window must share the bytes of its level; only windows that have one there, and
+    of those that are equal within a bucket one, are looked at one by one. Both times equal hashes are counted first, and joined from a table, so a
     hash that very many surroundings share is split.
     """
     counts = cut(edge.groupBy("g", "a", "b").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "levels")
-    some = edge.join(counts, ["g", "a", "b"]).groupBy("g", "c").agg(F.collect_set("a").alias("levels"))
-    rows = contexts.dropDuplicates(["g", "c"]).join(some, ["g", "c"]).select("g", "c", "p", "ctx", "levels")
+    some = edge.join(counts, ["g", "a", "b"]).groupBy("g", "c").agg(
+        F.collect_set("a").alias("levels"), F.max("windows").alias("windows")
+    )
+    rows = contexts.dropDuplicates(["g", "c"]).join(some, ["g", "c"]).select("g", "c", "p", "ctx", "levels", "windows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             g, c, p = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             at, offsets, hashes = [], [], []
-            for i, (text, levels) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist())):
-                hi, lo = int(p[i]) >> 8 & 255, int(p[i]) & 255
+            for i, (text, levels, bits) in enumerate(zip(*(b.column(k).to_pylist() for k in (3, 4, 5)))):
+                hi = int(p[i]) >> 8 & 255
+                still = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8)))
                 for j in levels:
-                    for o in range(max(lo, LEVELS[j][0]), min(hi, LEVELS[j][1]) + 1):
+                    for o in still[(still >= LEVELS[j][0]) & (still <= LEVELS[j][1])].tolist():
                         at.append(i)
                         offsets.append(o)
                         hashes.append(xxhash.xxh3_64_intdigest(text[hi - o : hi - o + LENGTH]))
@@ -322,7 +338,7 @@ def repeats(packed: DataFrame, rows: DataFrame) -> DataFrame:
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     leading = F.expr("substring(ctx, int((p >> 8) & 255) + 1)")
     dealt = contexts.repartitionByRange(buckets, leading, "c")
-    runs = cut(dealt.mapInArrow(sort_bucket, "kind int, g long, c long, a long, b long"), "runs")
+    runs = cut(dealt.mapInArrow(sort_bucket, "kind int, g long, c long, a long, b long, windows binary"), "runs")
     inside = runs.where("kind = 0").select("g", "c", "a", "b")
     runs = cut(inside.union(across_edges(contexts, runs.where("kind = 1"))), "runs")
     place = F.expr("p >> 16")
