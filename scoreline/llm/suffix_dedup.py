@@ -38,7 +38,7 @@ BUCKET_BYTES = 8 << 20
 WINDOWS_AT_ONCE = 1 << 19
 #: Offsets [low, high] of windows: an equal window has the same `low` bytes before the anchor and
 #: the same LENGTH - high bytes from it on.
-LEVELS = [(0, 0), *((1 << k, min(2 << k, SPAN) - 1) for k in range(8))]
+LEVELS = [(0, 1), (2, 7), (8, 23), *((k, min(k + 24, SPAN) - 1) for k in range(24, SPAN, 24))]
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
