@@ -23,7 +23,8 @@ from scoreline.llm.common import batches_of, column, id_text
 
 SEED = 3
 BLOCK_BYTES = 4 << 20  # of items, in expectation
-#: Seeds weigh log(documents / documents with the seed), at least 1; a passage is aligned from here.
+#: Seeds weigh log(documents / documents with the seed), at least 1; a passage is aligned from this
+#: weight on, or from that share of the weight of all the item's seeds if it has little.
 RARITY = 6.0
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: The alignment's score over that of the whole item.
@@ -189,7 +190,9 @@ def matches_in(items: Items, weights: np.ndarray, ids: np.ndarray) -> Iterator[t
     last = np.r_[first[1:], len(item)] - 1
     enough = last - first + 1 >= np.minimum(FEWEST, np.maximum(1, length[first] - SEED + 1))
     best: dict[int, tuple[float, int, int]] = {}
-    for k in np.flatnonzero((total >= RARITY) & enough):
+    members = np.repeat(weights, np.diff(items.begins))
+    whole = np.bincount(items.members, members, len(items.words))[item[first]]
+    for k in np.flatnonzero((total >= np.minimum(RARITY, SIMILARITY * whole)) & enough):
         words = items.words[item[first[k]]]
         low = max(0, int(place[first[k]]) - 2 * len(words))
         # a long run of seeds is aligned in overlapping stretches

@@ -190,9 +190,10 @@ def sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One bucket of distinct surroundings: kind 0, the runs [a, b] of offsets whose windows are
     repeated; kind 1, for the grams at the bucket's edges the hash of what a partner in another
     bucket must share, by level."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    rows = [b for b in batches if b.num_rows]
+    if not rows:
         return
+    table = pa.Table.from_batches(rows)
     g, c, n, p = (table.column(k).to_numpy() for k in ("g", "c", "n", "p"))
     text = table.column("ctx").to_pylist()
     order = np.lexsort((c, g))

@@ -131,7 +131,7 @@ def weak_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     patterns = rows.select("text").mapInArrow(run_votes, "votes array<int>, n long")
     counted = patterns.groupBy("votes").agg(F.sum("n")).collect()  # patterns, not documents
     counted = sorted((tuple(r[0]), r[1]) for r in counted)
-    table = np.array([p for p, _ in counted], np.int64).reshape(len(counted), -1)
+    table = np.array([p for p, _ in counted], np.int64)
     good = fit_votes(table, np.array([n for _, n in counted], float))[0] if counted else []
     known = {p: float(q) for (p, _), q in zip(counted, good)}
     found = rows.where(order < share).select("text").mapInArrow(run_sample, "x binary, votes array<int>").collect()
