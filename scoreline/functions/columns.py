@@ -71,14 +71,15 @@ def ground_truth_int(c: Column) -> Column:
     return (
         F.when(c.isin("Yes", "true"), F.lit(1).cast("bigint"))
         .when(c.isin("No", "false"), F.lit(0).cast("bigint"))
-        .otherwise(F.when(c.rlike("^-?[0-9]{1,18}$"), c.try_cast("bigint")))
+        .otherwise(F.when(c.rlike("^-?[0-9]+$"), c.try_cast("bigint")))
     )
 
 
 def threshold_label(probability: Column, threshold: Column | float = 0.5) -> Column:
-    """Yes from the threshold on (inclusive)."""
+    """Yes from the threshold on (inclusive); NaN has no label."""
     limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    return F.when(probability >= limit, "Yes").otherwise("No")
+    label = F.when(probability >= limit, "Yes").otherwise("No")
+    return F.when(~F.isnan(F.coalesce(probability.cast("double"), F.lit(0.0))), label)
 
 
 def risk_band(probability: Column, mid: float = 0.40, high: float = 0.70) -> Column:
@@ -150,7 +151,14 @@ def round_half_even(c: Column, digits: int) -> Column:
     odd = F.pmod(base, F.lit(2.0)) == 1.0
     tie_up = (rest == 0.5) & ((error > 0) | ((error == 0) & odd))
     rounded = (base + F.when((rest > 0.5) | tie_up, 1.0).otherwise(0.0)) / scale
-    return F.when(F.abs(x) < 1e11, rounded).otherwise(x)
+    # Below 2**52 / scale every step above is exact; beyond, doubles lie further apart than that.
+    beyond = F.coalesce(F.bround(x.try_cast("decimal(38,10)"), digits).cast("double"), x)
+    return F.when(F.abs(scaled) < 2.0**52, rounded).otherwise(beyond)
+
+
+def four_digits(c: Column) -> Column:
+    """Text of the exact binary value with four digits; format_string alone rounds its decimal text."""
+    return F.format_string("%.4f", round_half_even(c, 4))
 
 
 def count_where(test: Column) -> Column:

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from scoreline.spec import FeatureSpec
 
 FEATURES = "features"
-MAX_CATEGORIES = 10_000
-"""One-hot columns live on the driver as labels, so their number is checked before fitting."""
 
 
 def stages(spec: FeatureSpec) -> list:

@@ -47,13 +47,10 @@ def _locate(df: DataFrame, cuts: str, value: str, slices: int, out: str) -> Data
 
 
 def _attach(df: DataFrame, small: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """One row per group beside every row of that group; a single row if there are no groups.
-
-    `groups` name monitored columns or classes: their number is set by the specification, not
-    by the data, so the broadcast side stays at (groups x slices) numbers.
-    """
+    """One row per group beside every row of that group; a single row if there are no groups. Groups
+    may be as many as days in a log, so the join is left to Spark, which broadcasts small sides."""
     if groups:
-        return df.join(F.broadcast(small), list(groups))
+        return df.join(small, list(groups))
     names = small.columns
     packed = df.withColumn("__one", small.select(F.struct(*names)).scalar())
     return packed.select("*", *[F.col(f"__one.{n}").alias(n) for n in names]).drop("__one")
@@ -103,7 +100,7 @@ def cumulative(
     inside = Window.partitionBy(*groups, "__slice").orderBy(order)
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = placed.select("*", *[F.sum(s).over(inside).alias(f"__in_{s}") for s in sums])
-    return running.join(F.broadcast(offsets), [*groups, "__slice"]).select(
+    return running.join(offsets, [*groups, "__slice"]).select(
         *counts.columns,
         *[(F.col(f"__in_{s}") + F.col(f"__before_{s}")).alias(f"cum_{s}") for s in sums],
         *[F.col(f"total_{s}") for s in sums],

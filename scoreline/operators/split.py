@@ -76,8 +76,7 @@ def stratified_split(
         .when(F.col("__pos") <= F.col("__val"), "val")
         .otherwise("test")
     )
-    # One row per class.
-    joined = ranked.join(F.broadcast(cuts), target, "left")
+    joined = ranked.join(cuts, target, "left")
     return joined.select(*df.columns, name.alias(out))
 
 
@@ -96,8 +95,12 @@ def split_overlap(df: DataFrame, key: str, split: str = "split") -> DataFrame:
     return per_key.agg(F.count_if("shared").alias("shared_keys"), F.count(F.lit(1)).alias("keys"))
 
 
-def sample_fraction(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    return df.sample(withReplacement=False, fraction=fraction, seed=seed)
+def sample_fraction(df: DataFrame, fraction: float, seed: int = 42, key: str | None = None) -> DataFrame:
+    """Rows whose hash of all columns (of `key`, if given) falls into the fraction: the same rows
+    whatever the partitioning, and all or none of equal ones."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ([key] if key else df.columns)]
+    digest = F.substring(F.md5(F.concat_ws("|", *parts, F.lit(str(seed)))), 1, 8)
+    return df.where(digest < f"{int(fraction * 2**32):08x}") if fraction < 1 else df
 
 
 def class_weights(df: DataFrame, target: str) -> DataFrame:

@@ -252,7 +252,7 @@ def performance_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         auc.alias("roc_auc"),
         F.lit(True).alias("has_ground_truth"),
         (auc < 0.5).alias("degraded"),
-        F.format_string("roc_auc=%.4f", auc).alias("reason"),
+        F.concat(F.lit("area "), C.four_digits(auc)).alias("reason"),
         F.lit(0.55).alias("baseline_roc_auc"),
         F.lit(0.05).alias("degradation_tolerance"),
     )

@@ -278,7 +278,7 @@ def split_overlap(spark, sf):
 
 @query
 def sample_fraction(spark, sf):
-    return split.sample_fraction(B.customers(spark, sf), 0.1).select("customerID", "churn")
+    return split.sample_fraction(B.customers(spark, sf), 0.1, key="customerID").select("customerID", "churn")
 
 
 @query
@@ -618,9 +618,7 @@ def train_eval(spark, sf):
 
 @query
 def train_eval_random_forest(spark, sf):
-    fitted = models.train(
-        _split_customers(spark, sf), B.CUSTOMERS, "random_forest", params={"numTrees": 20, "maxDepth": 5}
-    )
+    fitted = models.train(_split_customers(spark, sf), B.CUSTOMERS, "random_forest")
     return models.metric_rows(spark, fitted)
 
 

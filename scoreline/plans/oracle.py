@@ -127,26 +127,26 @@ CTES: dict[str, str] = {
                     WHEN statistic_value / threshold >= 1.2 THEN 'warning' ELSE 'info' END AS severity,
                'drift' AS category,
                CASE WHEN drift_type = 'prediction'
-                    THEN printf('Prediction drift: overall PSI=%.4f >= threshold=%.4f (%s drift)', statistic_value, threshold,
+                    THEN printf('scores moved: psi %.4f reaches %.4f (%s)', statistic_value, threshold,
                          CASE WHEN statistic_value < 0.1 THEN 'none' WHEN statistic_value < 0.25 THEN 'moderate' ELSE 'significant' END)
-                    ELSE printf('Data drift on feature ''%s'': %s=%.4f >= threshold=%.4f', feature_name, statistic_name, statistic_value, threshold)
+                    ELSE printf('column %s moved: %s %.4f reaches %.4f', feature_name, statistic_name, statistic_value, threshold)
                END AS message, statistic_value AS metric_value, threshold
         FROM dm WHERE is_drifted
         UNION ALL
         SELECT computed_at,
                CASE WHEN 1.0 + greatest(0.0, 0.55 - 0.05 - roc_auc) / 0.05 >= 2.0 THEN 'critical'
                     WHEN 1.0 + greatest(0.0, 0.55 - 0.05 - roc_auc) / 0.05 >= 1.2 THEN 'warning' ELSE 'info' END,
-               'performance', printf('Model performance degraded: roc_auc=%.4f', roc_auc), roc_auc, 0.55
+               'performance', printf('model below its floor: area %.4f', roc_auc), roc_auc, 0.55
         FROM perf WHERE roc_auc < 0.5
         UNION ALL
         SELECT computed_at, CASE WHEN 1.0 + (320.0 - n) / 320.0 >= 2.0 THEN 'critical'
                     WHEN 1.0 + (320.0 - n) / 320.0 >= 1.2 THEN 'warning' ELSE 'info' END,
-               'volume', printf('Prediction volume anomalously LOW: %d records this window (< min=320) — pipeline may have stalled.', n),
+               'volume', printf('too few records: %d, at least 320 expected', n),
                CAST(n AS DOUBLE), 320.0
         FROM (SELECT day AS computed_at, n FROM day_cells) WHERE n < 320
         UNION ALL
         SELECT computed_at, CASE WHEN n / 350.0 >= 2.0 THEN 'critical' WHEN n / 350.0 >= 1.2 THEN 'warning' ELSE 'info' END,
-               'volume', printf('Prediction volume anomalously HIGH: %d records this window (> max=350).', n),
+               'volume', printf('too many records: %d, at most 350 expected', n),
                CAST(n AS DOUBLE), 350.0
         FROM (SELECT day AS computed_at, n FROM day_cells) WHERE n > 350""",
     "numeric_long": """
@@ -363,6 +363,8 @@ BODIES: dict[str, str] = {
         SELECT coalesce(split, 'total') AS split, count(*) AS n_rows, CAST(sum(churn) AS BIGINT) AS n_positive,
                round(avg(churn) * 100, 4) AS positive_pct FROM split_hash GROUP BY ROLLUP (split)""",
     "split_overlap": "SELECT CAST(0 AS BIGINT) AS shared_keys, count(DISTINCT customer_id) AS keys FROM pred",
+    "sample_fraction": """
+        SELECT "customerID", churn FROM cust WHERE substr(md5("customerID" || '|42'), 1, 8) < '19999999'""",
     "class_weights": """
         SELECT churn, n, round(sum(n) OVER () / CAST(count(*) OVER () * n AS DOUBLE), 6) AS weight
         FROM (SELECT churn, count(*) AS n FROM cust GROUP BY churn)""",

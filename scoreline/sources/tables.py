@@ -38,13 +38,20 @@ def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
 def read_records(
     spark: SparkSession, path: str, schema: T.StructType, fmt: str | None = None
 ) -> DataFrame:
-    """Scoring input: CSV with header, or JSON lines, by extension or by name."""
+    """Scoring input: CSV with header, or JSON lines, by extension or by name.
+
+    Columns are found by name, in any order. Those that the files don't have stay absent, so that
+    clean.fill_missing_columns can give them their defaults.
+    """
     kind = fmt or path.rstrip("/").rsplit(".", 1)[-1].lower()
     kind = {"jsonl": "json", "ndjson": "json"}.get(kind, kind)
     if kind == "csv":
-        return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+        rows = spark.read.option("header", True).csv(path)
+        there = [f for f in schema.fields if f.name in rows.columns]
+        return rows.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in there])
     if kind == "json":
-        return spark.read.schema(schema).json(path)
+        names = set(spark.read.json(path).columns)
+        return spark.read.schema(T.StructType([f for f in schema.fields if f.name in names])).json(path)
     if kind == "parquet":
         return spark.read.parquet(path)
     raise ValueError(f"unknown input format: {kind}")
