@@ -55,45 +55,43 @@ def swaps(groups: tuple[tuple[str, ...], ...]) -> dict[int, list[int]]:
     return out
 
 
-def telling_words(rows: list[tuple[list[int], int]]) -> set[int]:
-    with_word: tuple[dict[int, int], dict[int, int]] = ({}, {})
-    total = [0, 0]
-    for words, label in rows:
-        total[label] += 1
-        counts = with_word[label]
-        for w in words:
-            counts[w] = counts.get(w, 0) + 1
-    names = [w for w in set(with_word[0]) | set(with_word[1]) if with_word[0].get(w, 0) + with_word[1].get(w, 0) >= FEWEST]
-    b, a = (np.array([c.get(w, 0) for w in names], float) + 0.5 for c in with_word)
-    not_b, not_a = total[0] + 1 - b, total[1] + 1 - a
+def telling_words(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    names, at = np.unique(np.concatenate([np.zeros(0, np.uint32), *docs]), return_inverse=True)
+    label = np.repeat(y, [len(d) for d in docs]).astype(bool)
+    counts = [np.bincount(at[side], minlength=len(names)) for side in (~label, label)]
+    b, a = counts[0] + 0.5, counts[1] + 0.5
+    not_b, not_a = len(y) - y.sum() + 1 - b, y.sum() + 1 - a
     ratio = np.log(a / not_a) - np.log(b / not_b)
     apart = np.abs(ratio) >= DEVIATIONS * np.sqrt(1 / a + 1 / b + 1 / not_a + 1 / not_b)
-    return {w for w, keep in zip(names, apart) if keep}
+    return names[apart & (sum(counts) >= FEWEST)]
 
 
 def fit(
-    rows: list[tuple[list[int], int]],
+    rows: list[tuple[np.ndarray, int]],
     groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS,
     penalty: float = 5.0,
     l2: float = 1e-5,
     epochs: int = 40,
     batch: int = 256,
 ) -> tuple[dict[int, float], float]:
-    """Weights by word hash and the bias. Minimises the logistic loss, plus `penalty` times the mean
+    """rows: word hashes and label. Returns weights by word hash and the bias. Minimises the logistic loss, plus `penalty` times the mean
     squared change of the margin when an identity term of a document is swapped for another of its
     group, by AdaGrad."""
     y = np.array([label for _, label in rows], np.float64)
+    hashes = [np.asarray(words, np.uint32) for words, _ in rows]
     other = swaps(groups)
-    names = sorted(telling_words(rows) | {w for ws, _ in rows for w in ws if w in other})
-    names = sorted(set(names) | {t for w in names for t in other.get(w, [])})
-    place = {w: i for i, w in enumerate(names)}
-    docs = [np.array(sorted(place[w] for w in ws if w in place), np.int64) for ws, _ in rows]
+    terms = np.array(sorted(other), np.uint32)
+    held = [np.intersect1d(words, terms) for words in hashes]
+    wanted = {t for words in held for w in words.tolist() for t in (w, *other[w])}
+    names = np.union1d(telling_words(hashes, y), np.array(sorted(wanted), np.uint32)).astype(np.uint32)
+    docs = [np.searchsorted(names, np.intersect1d(words, names)) for words in hashes]
+    place = {t: int(np.searchsorted(names, t)) for t in wanted}
+    pairs = [[(place[w], place[t]) for w in words.tolist() for t in other[w]] for words in held]
     share = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
     weights, squares = np.zeros(len(names)), np.full(len(names), 1e-4)
     bias, bias_squares = float(np.log(share / (1 - share))), 1e-4
-    pairs = [[(i, place[t]) for i, w in ((place[w], w) for w in ws if w in other) for t in other[w]] for ws, _ in rows]
     order = np.random.default_rng(0)
-    for _ in range(epochs if names else 0):
+    for _ in range(epochs if len(names) else 0):
         shuffled = order.permutation(len(docs))
         for at in np.array_split(shuffled, max(1, len(docs) // batch)):
             index = np.concatenate([docs[i] for i in at])
@@ -110,10 +108,10 @@ def fit(
             weights -= 0.3 * gradient / np.sqrt(squares)
             bias_squares += error.mean() ** 2
             bias -= 0.1 * error.mean() / np.sqrt(bias_squares)
-    return dict(zip(names, weights.tolist())), bias
+    return dict(zip(names.tolist(), weights.tolist())), bias
 
 
-def labelled_rows(rows: DataFrame, labels: DataFrame, label: str, id_col: str) -> list[tuple[list[int], int]]:
+def labelled_rows(rows: DataFrame, labels: DataFrame, label: str, id_col: str) -> list[tuple[np.ndarray, int]]:
     """Hashed words and label of at most LABELLED rows."""
     known = labels.groupBy(labels[id_col].alias("doc_id")).agg(F.max(labels[label]).cast("int").alias("label"))
     chosen = known.where("label IS NOT NULL").withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
@@ -123,13 +121,14 @@ def labelled_rows(rows: DataFrame, labels: DataFrame, label: str, id_col: str) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [sorted(hashed(words_of(t))) for t in column(b, "text")]
+            words = [np.array(sorted(hashed(words_of(t))), np.uint32).tobytes() for t in column(b, "text")]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.list_(pa.int64())), pa.array(column(b, "label"), pa.int32())], ["w", "y"]
+                [pa.array(words, pa.binary()), pa.array(column(b, "label"), pa.int32())], ["w", "y"]
             )
 
-    out = found.select("text", "label").mapInArrow(run, "w array<long>, y int").collect()
-    return sorted((list(w), int(y > 0)) for w, y in out)[: 2 * LABELLED]
+    out = found.select("text", "label").mapInArrow(run, "w binary, y int").collect()
+    rows_found = sorted((bytes(w), int(y > 0)) for w, y in out)
+    return [(np.frombuffer(w, np.uint32), y) for w, y in rows_found]
 
 
 def score(rows: DataFrame, weights: dict[int, float], bias: float) -> DataFrame:

@@ -114,7 +114,7 @@ def test_swapped_identity_terms_get_like_scores():
             words.add(draw.choice(["vile", "awful"]))
         if draw.random() < (0.6 if toxic else 0.1):  # one group is named mostly in toxic sentences
             words.add("women")
-        rows.append((sorted(zlib.crc32(w.encode()) for w in words), int(toxic)))
+        rows.append((np.array([zlib.crc32(w.encode()) for w in sorted(words)], np.uint32), int(toxic)))
     term = {t: zlib.crc32(t.encode()) for t in ("women", "men", "vile")}
     free, _ = toxicity.fit(rows, penalty=0.0)
     held, bias = toxicity.fit(rows)
