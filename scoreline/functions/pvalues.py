@@ -1,7 +1,7 @@
-"""Tail probabilities of test statistics.
+"""Tail probabilities of test statistics, as column expressions.
 
-Spark has no gamma or Kolmogorov distribution. They are needed once per monitored feature, so
-they run as Arrow-batched functions over a handful of result rows, never over data rows.
+Spark has no gamma or Kolmogorov distribution. Both tails are sums or fractions of few terms, folded
+over a sequence. They are needed once per monitored feature, over a handful of result rows.
 """
 
 from __future__ import annotations
@@ -13,40 +13,54 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EXACT_LIMIT = 10_000
-"""Up to this many rows on the larger side the two-sample KS probability is exact."""
+KS_METHODS = ("limit", "exact")
+_SHIFT = 15
 
 
-def chi_square_tail(x: float, dof: int) -> float:
-    """P(X >= x), the regularised upper incomplete gamma function Q(dof/2, x/2)."""
-    a, z = dof / 2.0, x / 2.0
-    if z <= 0:
-        return 1.0
-    front = math.exp(a * math.log(z) - z - math.lgamma(a))
-    if z < a + 1:
-        term = total = 1.0 / a
-        k = a
-        while abs(term) > abs(total) * 1e-17:
-            k += 1
-            term *= z / k
-            total += term
-        return max(0.0, 1.0 - front * total)
-    # Continued fraction by the modified Lentz method.
-    tiny = 1e-300
-    b = z + 1 - a
-    c, d = 1 / tiny, 1 / b
-    h = d
-    for i in range(1, 10_000):
-        step = -i * (i - a)
-        b += 2
-        d = step * d + b
-        c = b + step / c
-        d = 1 / (d if d else tiny)
-        c = c if c else tiny
-        h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return front * h
+def _log_gamma(a: Column) -> Column:
+    """Stirling's series at a + _SHIFT, and the recurrence back to a."""
+    y = a + float(_SHIFT)
+    series = 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3))) + 1 / (1260 * F.pow(y, F.lit(5)))
+    whole = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series
+    steps = F.sequence(F.lit(0), F.lit(_SHIFT - 1))
+    return whole - F.aggregate(steps, F.lit(0.0), lambda total, i: total + F.log(a + i))
+
+
+def chi_square_p(statistic: Column, dof: Column) -> Column:
+    """P(X >= statistic), the regularised upper incomplete gamma function Q(dof/2, statistic/2): the
+    power series of its complement below the mean, Legendre's continued fraction above. Null where
+    an argument is null or there is no degree of freedom."""
+    a = F.when(dof > 0, dof / 2.0)
+    z = F.when(statistic > 0, statistic / 2.0)
+    terms = F.ceil(F.sqrt(a) * 10 + 100).cast("int")
+    front = F.exp(a * F.log(z) - z - _log_gamma(a))
+    # 1/a (1 + z/(a+1) (1 + z/(a+2) (1 + ...))), from the inside
+    series = F.aggregate(F.sequence(terms, F.lit(1)), F.lit(1.0), lambda h, k: 1 + z / (a + k) * h) / a
+    # z+1-a - 1(1-a) / (z+3-a - 2(2-a) / (z+5-a - ...)), from the inside
+    fraction = F.aggregate(
+        F.sequence(terms, F.lit(1)),
+        z + 2 * terms + 1 - a,
+        lambda f, k: z + 2 * k - 1 - a - k * (k - a) / f,
+    )
+    tail = F.when(z < a + 1, F.greatest(F.lit(0.0), 1 - front * series)).otherwise(front / fraction)
+    return F.when((statistic <= 0) & (dof > 0), F.lit(1.0)).otherwise(tail)
+
+
+def ks_limit_p(statistic: Column, n_reference: Column, n_current: Column) -> Column:
+    """Kolmogorov's limit with Stephens' small-sample correction; 1 where a side has fewer than two
+    values."""
+    n, m = n_reference.cast("double"), n_current.cast("double")
+    size = F.sqrt(F.when((n >= 2) & (m >= 2), n * m / (n + m)))
+    reach = (size + 0.12 + 0.11 / size) * statistic
+    terms = F.sequence(F.lit(1), F.lit(100))
+    series = F.aggregate(
+        terms,
+        F.lit(0.0),
+        lambda total, k: total + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * reach * reach),
+    )
+    # the series converges slowly towards 1 at 0
+    tail = F.when(reach < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))
+    return F.when((n < 2) | (m < 2), F.lit(1.0)).otherwise(tail)
 
 
 def ks_exact_tail(d: float, n: int, m: int) -> float:
@@ -58,7 +72,7 @@ def ks_exact_tail(d: float, n: int, m: int) -> float:
     """
     n, m = min(n, m), max(n, m)
     reach = round(d * n * m)
-    if reach <= 0:
+    if n < 2 or reach <= 0:
         return 1.0
     size = n + m
     drawn = np.arange(n + 1, dtype=np.float64)
@@ -85,43 +99,16 @@ def ks_exact_tail(d: float, n: int, m: int) -> float:
     return min(1.0, tail)
 
 
-def ks_limit_tail(d: float, n: int, m: int) -> float:
-    """Kolmogorov's limit with Stephens' small-sample correction."""
-    size = math.sqrt(n * m / (n + m))
-    lam = (size + 0.12 + 0.11 / size) * d
-    if lam < 0.2:
-        return 1.0
-    total = 0.0
-    for k in range(1, 101):
-        term = math.exp(-2.0 * k * k * lam * lam)
-        total += term if k % 2 else -term
-        if term < 1e-18:
-            break
-    return min(1.0, max(0.0, 2.0 * total))
-
-
-def ks_tail(d: float, n: int, m: int) -> float:
-    if n < 2 or m < 2:
-        return 1.0
-    if max(n, m) <= EXACT_LIMIT:
-        return ks_exact_tail(d, n, m)
-    return ks_limit_tail(d, n, m)
-
-
-def chi_square_p(statistic: Column, dof: Column) -> Column:
-    @F.pandas_udf("double")
-    def run(x: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series(
-            [None if pd.isna(a) or pd.isna(b) else chi_square_tail(a, int(b)) for a, b in zip(x, k)],
-            dtype="float64",
-        )
-
-    return run(statistic, dof)
-
+def ks_p(statistic: Column, n_reference: Column, n_current: Column, method: str = "limit") -> Column:
+    """`limit` is the default at every size. `exact` is for small windows: its work grows with
+    the square of their rows, and it runs in Python workers, which must have this package."""
+    if method not in KS_METHODS:
+        raise ValueError(f"method must be one of {KS_METHODS}")
+    if method == "limit":
+        return ks_limit_p(statistic, n_reference, n_current)
 
-def ks_p(statistic: Column, n_reference: Column, n_current: Column) -> Column:
     @F.pandas_udf("double")
     def run(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-        return pd.Series([ks_tail(a, int(b), int(c)) for a, b, c in zip(d, n, m)], dtype="float64")
+        return pd.Series([ks_exact_tail(a, int(b), int(c)) for a, b, c in zip(d, n, m)], dtype="float64")
 
     return run(statistic, n_reference, n_current)

@@ -405,7 +405,8 @@ _SHOWN = ("feature_name", "drift_type", "statistic_name", "statistic_value", "th
 
 @query
 def prediction_drift(spark, sf):
-    return drift.prediction_drift(*B.windows(spark, sf)).select(*_SHOWN, "current_window")
+    rows = drift.prediction_drift(*B.windows(spark, sf))
+    return rows.select(*_SHOWN, F.round("p_value", 6).alias("p_value"), "current_window")
 
 
 @query

@@ -182,7 +182,8 @@ CTES: dict[str, str] = {
                     FROM numeric_long GROUP BY ALL)) GROUP BY feature""",
     "ks_tail": """
         SELECT feature, any_value(d) AS d, any_value(n) AS n, any_value(m) AS m,
-               least(1.0, greatest(0.0, 2 * sum((CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * j * j * lam * lam)))) AS p
+               CASE WHEN any_value(n) < 2 OR any_value(m) < 2 OR any_value(lam) < 0.2 THEN 1.0 ELSE
+               least(1.0, greatest(0.0, 2 * sum((CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * j * j * lam * lam)))) END AS p
         FROM (SELECT *, (sqrt(n * m / CAST(n + m AS DOUBLE)) + 0.12 + 0.11 / sqrt(n * m / CAST(n + m AS DOUBLE))) * d AS lam FROM ks)
         CROSS JOIN (SELECT unnest(range(1, 101)) AS j) GROUP BY feature""",
     "cat_long": """
@@ -407,10 +408,11 @@ BODIES: dict[str, str] = {
                n_reference, n_current FROM num_psi""",
     "drift_categorical_psi": "SELECT feature, round(psi, 6) AS psi FROM cat_stats",
     "drift_ks": "SELECT feature, round(d, 6) AS ks_d, CAST(n AS BIGINT) AS n_reference, CAST(m AS BIGINT) AS n_current FROM ks",
+    "drift_ks_p": "SELECT feature, round(p, 6) AS p_value FROM ks_tail",
     "drift_chi_square": """
         SELECT feature, round(chi, 6) AS chi_square, dof, round(exp(-chi / 2) * (1 + chi / 2), 6) AS p_value FROM cat_stats""",
     "prediction_drift": """
-        SELECT feature_name, drift_type, statistic_name, statistic_value, threshold, is_drifted,
+        SELECT feature_name, drift_type, statistic_name, statistic_value, threshold, is_drifted, p_value,
                'last ' || (SELECT count(*) FROM cur) || ' predictions' AS current_window
         FROM drift_rows WHERE drift_type = 'prediction'""",
     "data_drift": "SELECT * FROM drift_rows WHERE drift_type = 'data'",

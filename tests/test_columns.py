@@ -77,15 +77,25 @@ def test_timestamps(spark):
     assert stamp == ["2024-01-05T10:00:00Z"]
 
 
-def test_chi_square_tail():
-    assert pvalues.chi_square_tail(3.841458820694124, 1) == pytest.approx(0.05, abs=1e-12)
-    assert pvalues.chi_square_tail(50.0, 4) == pytest.approx(math.exp(-25) * 26, rel=1e-12)
-    assert pvalues.chi_square_tail(0.0, 3) == 1.0
-    for x in (0.1, 1.0, 5.0, 20.0, 80.0):
-        assert pvalues.chi_square_tail(x, 1) == pytest.approx(math.erfc(math.sqrt(x / 2)), rel=1e-10)
-
-
-def test_ks_tail_against_enumeration():
+def test_chi_square_tail(spark):
+    def tails(rows):
+        df = spark.createDataFrame([(i, x, k) for i, (x, k) in enumerate(rows)], "i int, x double, k int")
+        found = df.select("i", pvalues.chi_square_p(F.col("x"), F.col("k")).alias("p")).orderBy("i").collect()
+        return [r.p for r in found]
+
+    got = tails([(3.841458820694124, 1), (50.0, 4), (0.0, 3), (None, 3), (1.0, None), (1e7, 2)])
+    assert got[0] == pytest.approx(0.05, abs=1e-12)
+    assert got[1] == pytest.approx(math.exp(-25) * 26, rel=1e-12)
+    assert got[2:] == [1.0, None, None, 0.0]
+    points = (0.1, 1.0, 2.9, 3.1, 5.0, 20.0, 80.0)
+    assert tails([(x, 1) for x in points]) == pytest.approx([math.erfc(math.sqrt(x / 2)) for x in points], rel=1e-10)
+    # an even number of degrees of freedom has a finite sum
+    for k, x in ((10, 4.0), (10, 30.0), (400, 380.0), (400, 402.0), (400, 500.0), (20_000, 20_100.0)):
+        terms = [j * math.log(x / 2) - x / 2 - math.lgamma(j + 1) for j in range(k // 2)]
+        assert tails([(x, k)])[0] == pytest.approx(math.fsum(map(math.exp, terms)), rel=1e-8)
+
+
+def test_ks_tail_against_enumeration(spark):
     from itertools import combinations
 
     def brute(reach, n, m):
@@ -104,6 +114,8 @@ def test_ks_tail_against_enumeration():
 
     for n, m, reach in [(4, 5, 9), (5, 5, 10), (3, 7, 12), (6, 4, 8), (5, 5, 25)]:
         assert pvalues.ks_exact_tail(reach / (n * m), n, m) == pytest.approx(brute(reach, n, m), rel=1e-12)
-    assert pvalues.ks_tail(0.9, 1, 50) == 1.0
-    exact, limit = pvalues.ks_exact_tail(0.02, 9000, 9000), pvalues.ks_limit_tail(0.02, 9000, 9000)
-    assert exact == pytest.approx(limit, rel=0.02)
+    df = spark.createDataFrame([(0, 0.9, 1, 50), (1, 0.02, 9000, 9000), (2, 0.001, 50, 50)], "i int, d double, n long, m long")
+    both = [pvalues.ks_p(F.col("d"), F.col("n"), F.col("m"), k).alias(k) for k in pvalues.KS_METHODS]
+    one, large, near = df.select("i", *both).orderBy("i").collect()
+    assert (one.limit, one.exact, near.limit) == (1.0, 1.0, 1.0)
+    assert large.exact == pytest.approx(large.limit, rel=0.02)
