@@ -76,6 +76,13 @@ def batches_of(sizes: Iterable[int], limit: int = SLICE_BYTES) -> Iterator[tuple
         yield i, j + 1
 
 
+def portions(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches, so that few texts at a time are held as Python objects."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from scoreline.llm.common import batches_of, column, id_text
+from scoreline.llm.common import batches_of, column, id_text, portions
 
 SEED = 3
 BLOCK_BYTES = 4 << 20  # of items, in expectation
@@ -151,7 +151,7 @@ def seed_counts(rows: DataFrame, items: Items) -> tuple[int, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, n = sent.value, 0
         total = np.zeros(len(items.keys), np.int64)
-        for b in batches:
+        for b in portions(batches):
             texts = column(b, "text")
             n += len(texts)
             for i, j in batches_of(map(len, texts)):
@@ -254,7 +254,7 @@ def matches(
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             item_ids, block, weights = sent.value
-            for b in batches:
+            for b in portions(batches):
                 at, found = [], []
                 for k, text in enumerate(column(b, "text")):
                     for match in matches_in(block, weights, block.numbers(words_of(text))):
@@ -280,7 +280,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             _, block, weights = sent.value
-            for b in batches:
+            for b in portions(batches):
                 texts = column(b, text_col)
                 found = [any(True for _ in matches_in(block, weights, block.numbers(words_of(t or "")))) for t in texts]
                 yield b.filter(pa.array([not f for f in found], pa.bool_()))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreline.llm.boosting import Trees, fit_trees
-from scoreline.llm.common import column, cut
+from scoreline.llm.common import column, cut, portions
 from scoreline.llm.statistics import COUNTS, SHARES, statistics, statistics_of
 
 INPUTS = ("n_words", *SHARES)
@@ -82,7 +82,7 @@ def good_documents(
     sent = docs.sparkSession.sparkContext.broadcast(fit_rules(stats, labels, label))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             found = [statistics_of(t or "") for t in column(batch, text_col)]
             counts = np.array([c for c, _ in found], np.int64).reshape(-1, len(COUNTS))
             shares = np.array([s for _, s in found], np.float64).reshape(-1, len(SHARES))

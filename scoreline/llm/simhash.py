@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreline.llm.common import ascii_lower_words, batches_of, column, cut, id_text
+from scoreline.llm.common import ascii_lower_words, batches_of, column, cut, id_text, portions
 from scoreline.llm.components import connected_components
 
 SEED = 42
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.select("doc_id", "text", *row_keys(F.col("doc_id"), F.col("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             fp = pa.array(fingerprints_of(column(b, "text")).view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), fp, b.column(2), b.column(3)], ["doc_id", "fp", "k1", "k2"])
 

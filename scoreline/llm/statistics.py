@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from scoreline.llm.common import column, id_text
+from scoreline.llm.common import column, id_text, portions
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -72,7 +72,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     of white space alone, has all counts 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             found = [statistics_of(t) for t in column(batch, "text")]
             counts = np.array([f[0] for f in found], np.int64).reshape(-1, len(COUNTS))
             shares = np.array([f[1] for f in found], np.float64).reshape(-1, len(SHARES))

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreline.llm.common import SLICE_BYTES, batches_of, column, cut, id_text, ship
+from scoreline.llm.common import SLICE_BYTES, batches_of, column, cut, id_text, portions, ship
 
 LENGTH = 200
 GRAM = 32
@@ -108,7 +108,7 @@ def anchors(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = xxhash.xxh3_64_intdigest
-        for batch in batches:
+        for batch in portions(batches):
             k1, k2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
             for rows, offsets, pieces in _pieces(_encoded(batch)):
                 data, piece, place, first, last = anchors_of(pieces)
@@ -298,7 +298,7 @@ def _packed(docs: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
-        for b in batches:
+        for b in portions(batches):
             z = pa.array([pack(t) for t in _encoded(b)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), z], ["row", "k1", "k2", "z"])
 
