@@ -9,8 +9,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from scoreline.llm.bpe_merge import REMEMBERED, Remembered, merge_symbols
-from scoreline.llm.common import column, id_text
+from scoreline.llm.bpe_merge import Remembered, merge_symbols
+from scoreline.llm.common import column, id_text, portions
 from scoreline.llm.pretokens import chunks, pretokens, segments, vocabulary
 
 
@@ -21,8 +21,9 @@ class Codec:
     def __init__(self, path: str):
         self.vocab = vocabulary(path)
         self.pretoken = Remembered(self._pretoken)
-        #: part of a text -> (its tokens, their ids joined by commas, their strings joined)
-        self.part = Remembered(self._part, REMEMBERED // 2)
+        #: part of a text -> (its tokens, their ids joined by commas, their strings joined); a
+        #: pretoken is a part of its own, so what digests() remembers is here alone
+        self.part = Remembered(self._part)
 
     def _pretoken(self, pretoken: str) -> tuple[int, ...]:
         symbols = [self.vocab.byte_id[b] for b in pretoken.encode("utf-8", "surrogatepass")]
@@ -30,8 +31,12 @@ class Codec:
         return tuple([s for s in symbols if s >= 0])
 
     def _part(self, part: str) -> tuple[int, bytes, bytes]:
-        ids = [i for p in pretokens(part) for i in self.pretoken[p]]
-        return len(ids), b",".join([b"%d" % i for i in ids]), self._strings(ids)
+        found = pretokens(part)
+        if found == [part]:
+            ids = self._pretoken(part)
+            return len(ids), b",".join([b"%d" % i for i in ids]), self._strings(ids)
+        counts, numbers, strings = zip(*map(self.part.__getitem__, found))
+        return sum(counts), b",".join(numbers), b"".join(strings)
 
     def _strings(self, ids: list[int]) -> bytes:
         return b"".join([self.vocab.text[i] for i in ids])
@@ -110,7 +115,7 @@ def digests(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(vocabulary_path)
-        for batch in batches:
+        for batch in portions(batches):
             n, ids, decoded = [], [], []
             for text in column(batch, "text"):
                 a, b, c = codec.digests(text)

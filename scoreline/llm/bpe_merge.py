@@ -5,7 +5,7 @@ from __future__ import annotations
 from heapq import heapify, heappop, heappush
 
 #: A worker remembers results of at most this many strings; further ones are worked out each time.
-REMEMBERED = 3 << 18
+REMEMBERED = 3 << 17
 #: Longer strings aren't remembered, so that the memory has a bound in bytes too.
 REMEMBERED_CHARS = 64
 

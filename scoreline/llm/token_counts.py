@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreline.llm.bpe_merge import REMEMBERED, Remembered, merge_symbols
-from scoreline.llm.common import column, id_text
+from scoreline.llm.bpe_merge import Remembered, merge_symbols
+from scoreline.llm.common import column, id_text, portions
 from scoreline.llm.pretokens import chunks, pretokens, segments, vocabulary
 
 
@@ -19,15 +19,18 @@ class Counter:
 
     def __init__(self, path: str):
         self.vocab = vocabulary(path)
-        self.pretoken = Remembered(self._pretoken)
-        self.part = Remembered(
-            lambda part: sum(map(self.pretoken.__getitem__, pretokens(part))), REMEMBERED // 2
-        )
+        self.part = Remembered(self._part)
 
     def _pretoken(self, pretoken: str) -> int:
         symbols = [self.vocab.byte_id[b] for b in pretoken.encode("utf-8", "surrogatepass")]
         return len(symbols) - merge_symbols(symbols, self.vocab.ranks, self.vocab.merged)
 
+    def _part(self, part: str) -> int:
+        found = pretokens(part)
+        if found == [part]:
+            return self._pretoken(part)
+        return sum(map(self.part.__getitem__, found))
+
     def count(self, text: str) -> int:
         total = 0
         for piece, added in segments(text, self.vocab):
@@ -55,7 +58,7 @@ def token_counts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(vocabulary_path)
-        for batch in batches:
+        for batch in portions(batches):
             n = pa.array([counter.count(t) for t in column(batch, "text")], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), n], ["doc_id", "n_bytes", "n_tokens"]
