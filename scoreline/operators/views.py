@@ -168,7 +168,7 @@ def overview_kpis(
                 f"{prefix}churn_rate_pct"
             ),
             F.avg(score).alias(f"{prefix}avg_probability"),
-            count_where(score > high_risk).alias(f"{prefix}high_risk_count"),
+            F.when(n > 0, count_where(score > high_risk)).alias(f"{prefix}high_risk_count"),
         ]
 
     both = ranked.agg(

@@ -59,7 +59,7 @@ def test_kpis(spark):
     two = views.overview_kpis(df, window=3).first()
     assert (two.total, two.delta_total, two.high_risk_count, two.delta_high_risk_count) == (3, 1, 0, -2)
     empty = views.overview_kpis(df.limit(0)).first()
-    assert (empty.total, empty.churn_rate_pct, empty.high_risk_count, empty.delta_total) == (0, None, 0, None)
+    assert (empty.total, empty.churn_rate_pct, empty.high_risk_count, empty.delta_total) == (0, None, None, None)
 
 
 def test_summaries(spark):
