@@ -11,6 +11,10 @@ from scoreline.llm import (
 )
 
 
+#: Bytes of a segment in op10: some quarter of the given pages are longer.
+PAGE_SEGMENT = 1 << 12
+
+
 def vocabulary_path() -> str:
     """The given vocabulary file, the same place on every machine."""
     import public_tokenizers
@@ -59,7 +63,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.warc_round_trip(table(spark, sf_dir, "pages")).drop("problem")
+    return warc.warc_round_trip(table(spark, sf_dir, "pages"), segment=PAGE_SEGMENT).drop("problem")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,9 +67,11 @@ def dechunked(body: bytes) -> bytes:
         at += size + 2
 
 
-def record_id(page_id, number: int = 1) -> str:
-    """The same page and segment get the same id, so a task that is tried again changes nothing."""
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{number}')}>"
+def record_id(page_id, digest: str, ordinal: int = 0, number: int = 1) -> str:
+    """The same row and segment get the same id, so a task that is tried again changes nothing.
+    `ordinal` tells rows of equal page and payload apart."""
+    name = f"page:{'null' if page_id is None else f'={page_id}'}:{digest}:{ordinal}:{number}"
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
 
 
 def _head(fields: list[tuple[str, str]]) -> str:
@@ -80,23 +82,26 @@ def one_line(text: str | None) -> str:
     return "".join(ch if ch >= " " and ch != "\x7f" else f"%{ord(ch):02X}" for ch in text or "")
 
 
-def records_of(page_id, url: str | None, payload: str, digest: str, first, segment: int = SEGMENT_BYTES) -> Iterator[str]:
-    """The record of a page, or its segments. `first`: the page that holds an equal payload."""
+def records_of(
+    page_id, url: str | None, payload: str, digest: str, ordinal: int, again: bool, first, segment: int = SEGMENT_BYTES
+) -> Iterator[str]:
+    """The record of a page, or its segments. `again`: the page `first` holds an equal payload."""
     name = "" if page_id is None else str(page_id)
     common = [("WARC-Target-URI", one_line(url)), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-Id", name)]
     http = f"HTTP/1.1 200 OK{LINE}Content-Type: text/html; charset=utf-8{LINE}Transfer-Encoding: chunked{LINE}{LINE}"
     size = len(payload.encode("utf-8", "surrogatepass"))
-    own = record_id(page_id)
-    if first is not None:
+    own = record_id(page_id, digest, ordinal)
+    if again:
         head = [("WARC-Type", "revisit"), ("WARC-Record-ID", own), *common, ("WARC-Profile", PROFILE)]
-        head += [("WARC-Refers-To", record_id(first)), ("X-Refers-To-Page", str(first)), ("X-Payload-Length", str(size))]
+        head += [("WARC-Refers-To", record_id(first, digest)), ("X-Payload-Length", str(size))]
+        head += [("X-Refers-To-Page", str(first))] if first is not None else []
         yield _head([*head, ("Content-Length", "0")])
         return
     block = http + chunked(payload)
     parts = list(cut_points(block, segment))
     total = len(block.encode("utf-8", "surrogatepass"))
     for k, part in enumerate(parts, 1):
-        head = [("WARC-Type", "response" if k == 1 else "continuation"), ("WARC-Record-ID", record_id(page_id, k))]
+        head = [("WARC-Type", "response" if k == 1 else "continuation"), ("WARC-Record-ID", record_id(page_id, digest, ordinal, k))]
         if k == 1:
             head += common
         else:
@@ -121,9 +126,9 @@ def write_archives(
     """Writes a record for every row of pages as gzip files under `path`.
 
     Of rows with equal payloads of at least `least_bytes`, the one of the smallest id (nulls last)
-    becomes a response and the others revisits of it. A null html is an empty payload. Ids are
-    unique by contract; of rows with the same id and payload one is the response, the others
-    revisit it.
+    becomes a response and the others revisits of it. A null html is an empty payload. Null and
+    repeated ids are pages of their own; of rows with the same id and payload one is the response,
+    the others revisit it.
     """
     spark = pages.sparkSession
     ship(spark)
@@ -132,31 +137,38 @@ def write_archives(
         pages[id_col].alias("page_id"), pages[url_col].cast("string").alias("url"), html.alias("html")
     ).withColumn("sha", F.sha1(F.col("html").cast("binary")))
     kind = rows.schema["page_id"].dataType.simpleString()
-    # of each payload the smallest id, and how many rows hold it: a scan of one column
-    first = rows.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    first = cut(first.where("n > 1").select("sha", "first"), "first-pages")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             z = [zlib.compress(t.encode("utf-8", "surrogatepass"), 6) for t in column(b, "html")]
             yield pa.RecordBatch.from_arrays([*b.columns[:2], b.column(3), pa.array(z, pa.binary())], ["page_id", "url", "sha", "z"])
 
-    packed = rows.mapInArrow(pack, f"page_id {kind}, url string, sha string, z binary").join(first, "sha", "left")
+    # written once, so that a row keeps its number
+    packed = rows.mapInArrow(pack, f"page_id {kind}, url string, sha string, z binary")
+    packed = cut(packed.withColumn("row", F.monotonically_increasing_id()), "packed-pages")
+    # of each payload the first row, and how many rows hold it: a scan without the payloads
+    low = F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "row"))
+    first = packed.groupBy("sha").agg(low.alias("low"), F.count("*").alias("n")).where("n > 1")
+    first = cut(first.select("sha", F.col("low.page_id").alias("first"), F.col("low.row").alias("first_row")), "first-pages")
+    packed = packed.join(first, "sha", "left")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[str] = []
-            for page, url, sha, z, low in zip(*(column(b, c) for c in ("page_id", "url", "sha", "z", "first"))):
+            names = ("page_id", "url", "sha", "z", "row", "first", "first_row")
+            for page, url, sha, z, row, low, low_row in zip(*(column(b, c) for c in names)):
                 data = zlib.decompress(z)
                 digest = base64.b32encode(bytes.fromhex(sha)).decode()
-                refers = low if low is not None and low != page and len(data) >= least_bytes else None
-                out += records_of(page, url, data.decode("utf-8", "surrogatepass"), digest, refers, segment)
+                later = low_row is not None and row != low_row
+                again = later and len(data) >= least_bytes
+                text = data.decode("utf-8", "surrogatepass")
+                out += records_of(page, url, text, digest, row + 1 if later else 0, again, low, segment)
                 if len(out) >= 200:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
                     out = []
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    packed = packed.select("page_id", "url", "sha", "z", "first").mapInArrow(build, "value string")
+    packed = packed.select("page_id", "url", "sha", "z", "row", "first", "first_row").mapInArrow(build, "value string")
     packed.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
@@ -285,12 +297,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def warc_round_trip(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", path: str | None = None
-) -> DataFrame:
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", path: str | None = None,
+    segment: int = SEGMENT_BYTES,
+) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to and problem of every page, as
     read back from the archives written to `path` (a new shared folder unless given)."""
     path = path or fresh_dir(pages.sparkSession, "warc")
-    write_archives(pages, path, id_col, url_col, html_col)
+    write_archives(pages, path, id_col, url_col, html_col, segment=segment)
     kind = pages.schema[id_col].dataType
     page = F.when(F.col("page") != "", F.col("page")).cast(kind)
     return read_archives(pages.sparkSession, path).select(
