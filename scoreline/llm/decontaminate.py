@@ -2,9 +2,9 @@
 
 The test items are a query set: they are taken in blocks of bounded size, and each block meets every
 document. A first pass counts in how many documents each seed (an n-gram of an item) occurs; a
-second one collects the seeds of an item that lie close together in a document, weighs them by
-rarity, and aligns the item with the passage where the weights suffice. Nothing is shuffled but the
-counts, so a passage that very many documents share costs no more than others.
+second one collects the seeds of an item that lie close together in a document and aligns the item
+with every passage that has enough of them, those of the rarest seeds first. Nothing is shuffled but
+the counts, so a passage that very many documents share costs no more than others.
 """
 
 from __future__ import annotations
@@ -23,9 +23,6 @@ from scoreline.llm.common import batches_of, column, id_text, portions
 
 SEED = 3
 BLOCK_BYTES = 4 << 20  # of items, in expectation
-#: Seeds weigh log(documents / documents with the seed), at least 1; a passage is aligned from this
-#: weight on, or from that share of the weight of all the item's seeds if it has little.
-RARITY = 6.0
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: The alignment's score over that of the whole item.
 SIMILARITY = 0.5
@@ -172,8 +169,11 @@ def seed_counts(rows: DataFrame, items: Items) -> tuple[int, np.ndarray]:
     return int(counts[-1]), counts[:-1]
 
 
-def matches_in(items: Items, weights: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
-    """Items found in a text: number, similarity, first word, end."""
+def matches_in(
+    items: Items, weights: np.ndarray, ids: np.ndarray, one: bool = False
+) -> Iterator[tuple[int, float, int, int]]:
+    """Items found in a text: number, similarity, first word, end. Passages of rare seeds are looked
+    at first; if `one` match is enough, no more are aligned."""
     places, seeds = items.seeds_at(ids)
     if not len(places):
         return
@@ -190,9 +190,8 @@ def matches_in(items: Items, weights: np.ndarray, ids: np.ndarray) -> Iterator[t
     last = np.r_[first[1:], len(item)] - 1
     enough = last - first + 1 >= np.minimum(FEWEST, np.maximum(1, length[first] - SEED + 1))
     best: dict[int, tuple[float, int, int]] = {}
-    members = np.repeat(weights, np.diff(items.begins))
-    whole = np.bincount(items.members, members, len(items.words))[item[first]]
-    for k in np.flatnonzero((total >= np.minimum(RARITY, SIMILARITY * whole)) & enough):
+    passages = np.flatnonzero(enough)
+    for k in passages[np.argsort(-total[passages], kind="stable")]:
         words = items.words[item[first[k]]]
         low = max(0, int(place[first[k]]) - 2 * len(words))
         # a long run of seeds is aligned in overlapping stretches
@@ -204,8 +203,12 @@ def matches_in(items: Items, weights: np.ndarray, ids: np.ndarray) -> Iterator[t
                 continue
             score, start, end = align(words, passage)
             share = score / (MATCH * len(words))
-            if share >= SIMILARITY and share > best.get(int(item[first[k]]), (0.0,))[0]:
+            held = best.get(int(item[first[k]]), (0.0, 0, 0))
+            if share >= SIMILARITY and (share, -at - start) > (held[0], -held[1]):
                 best[int(item[first[k]])] = (share, at + start, at + end)
+                if one:
+                    yield int(item[first[k]]), *best[int(item[first[k]])]
+                    return
     for i, found in best.items():
         yield i, *found
 
@@ -282,7 +285,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
             _, block, weights = sent.value
             for b in portions(batches):
                 texts = column(b, text_col)
-                found = [any(True for _ in matches_in(block, weights, block.numbers(words_of(t or "")))) for t in texts]
+                found = [any(True for _ in matches_in(block, weights, block.numbers(words_of(t or "")), one=True)) for t in texts]
                 yield b.filter(pa.array([not f for f in found], pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)
