@@ -7,7 +7,8 @@ from collections import Counter
 import numpy as np
 import xxhash
 
-from scoreline.llm import simhash, suffix_dedup
+import corpus_pipeline
+from scoreline.llm import near_copies, simhash, suffix_dedup
 from scoreline.llm.components import connected_components
 from tests.llm.fixtures import awkward, documents, nothing
 
@@ -89,6 +90,44 @@ def test_simhash_awkward_rows(spark):
     assert simhash.first_of_groups(nothing(spark)).count() == 0
 
 
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) > 4 else {tuple(words)}
+
+
+def test_edited_copies_go_from_the_pipeline_and_less_similar_texts_stay(spark):
+    draw = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    texts, far = [], 0
+    for _ in range(40):
+        base = [draw.choice(words) for _ in range(draw.randint(60, 400))]
+        texts.append(" ".join(base))
+        for share in (0.01, 0.015, 0.02, 0.06):
+            copy = list(base)
+            for at in draw.sample(range(len(copy)), max(1, round(share * len(copy)))):
+                copy[at] = draw.choice(words)
+            texts.append(" ".join(copy))
+    texts += [texts[0], "", None, "one two", "One  two", "one three"]
+    sets = [shingles(t) for t in texts]
+    groups = Sets(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                groups.join(i, j)
+                far += (fingerprint(texts[i]) ^ fingerprint(texts[j])).bit_count() > simhash.DISTANCE
+    assert far > 50
+    rows = documents(spark, texts)
+    kept = corpus_pipeline.near_duplicates(spark, rows, "")
+    assert kept.columns == rows.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({groups.find(i) for i in range(len(texts))})
+
+
+def test_near_copies_awkward_rows(spark):
+    kept = near_copies.first_of_near_copies(awkward(spark)).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 4, 5, 7, 7, 8, 9] and len(kept) == 8
+    assert near_copies.first_of_near_copies(nothing(spark)).count() == 0
+
+
 def brute(texts, length=200):
     data = [(t or "").encode() for t in texts]
     seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
