@@ -89,13 +89,15 @@ def anchors_of(pieces: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.n
 
 def _pieces(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
     """Groups of rows, offsets and bytes of some SLICE_BYTES; a longer text comes in pieces that
-    share LENGTH - 1 bytes, so each window is in one piece."""
-    for i, j in batches_of(map(len, texts)):
-        if j == i + 1 and len(texts[i]) > SLICE_BYTES:
-            for at in range(0, len(texts[i]) - LENGTH + 1, SLICE_BYTES):
-                yield [i], [at], [texts[i][at : at + SLICE_BYTES + LENGTH - 1]]
-        else:
-            yield list(range(i, j)), [0] * (j - i), texts[i:j]
+    share LENGTH - 1 bytes, so each window is in one piece. Texts without a window are left out."""
+    for i, text in enumerate(texts):
+        if len(text) > SLICE_BYTES:
+            for at in range(0, len(text) - LENGTH + 1, SLICE_BYTES):
+                yield [i], [at], [text[at : at + SLICE_BYTES + LENGTH - 1]]
+    rows = [i for i, text in enumerate(texts) if LENGTH <= len(text) <= SLICE_BYTES]
+    for i, j in batches_of(len(texts[k]) for k in rows):
+        if rows[i:j]:
+            yield rows[i:j], [0] * (j - i), [texts[k] for k in rows[i:j]]
 
 
 def _encoded(batch: pa.RecordBatch) -> list[bytes]:
