@@ -57,6 +57,24 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_keys(id_column: Column, text: Column) -> list[Column]:
+    """Rows of equal keys have the same id and text."""
+    return [F.xxhash64(id_column, text).alias("k1"), F.hash(text, id_column).alias("k2")]
+
+
+def row_sample(rows: DataFrame, n: int, **more: Column) -> DataFrame:
+    """rows: doc_id and text. text and `more` of at most n rows, those of the smallest hash of id and
+    text, of equal rows one. Texts are read again by key, so none but these are sorted."""
+    keyed = rows.select(*row_keys(F.col("doc_id"), F.col("text")), "text", *[c.alias(k) for k, c in more.items()])
+    low = keyed.select("k1", "k2").distinct().orderBy("k1", "k2").limit(n)
+    last = low.orderBy(F.desc("k1"), F.desc("k2")).first()  # one row
+    if last is None:
+        return keyed.drop("k1", "k2").limit(0)
+    within = (F.col("k1") < last.k1) | ((F.col("k1") == last.k1) & (F.col("k2") <= last.k2))
+    values = [F.max(c).alias(c) for c in keyed.columns[2:]]
+    return keyed.where(within).groupBy("k1", "k2").agg(*values).drop("k1", "k2")
+
+
 def fold(id_column: Column, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo folds; a null id counts as the empty text."""
     text = F.coalesce(id_column.cast("string"), F.lit(""))

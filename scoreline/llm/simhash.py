@@ -9,10 +9,10 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreline.llm.common import ascii_lower_words, batches_of, column, cut, id_text, portions
+from scoreline.llm.common import ascii_lower_words, batches_of, column, cut, id_text, portions, row_keys
 from scoreline.llm.components import connected_components
 
 SEED = 42
@@ -71,11 +71,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"doc_id {kind}, fp long, k1 long, k2 int")
 
 
-def row_keys(id_column: Column, text: Column) -> list[Column]:
-    """Rows of equal keys have the same id and text."""
-    return [F.xxhash64(id_column, text).alias("k1"), F.hash(text, id_column).alias("k2")]
-
-
 def _free_values(fp: np.ndarray, table: np.ndarray) -> np.ndarray:
     first, second = np.array(FREE)[table].T
     low = (fp >> (first * 8).astype(np.uint64)) & np.uint64(255)

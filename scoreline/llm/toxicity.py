@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreline.llm.common import column, fold, id_text
+from scoreline.llm.common import column, fold, id_text, row_sample
 
 #: Terms of one row name members of one kind of group and may stand for each other.
 IDENTITY_TERMS = (
@@ -24,8 +24,8 @@ IDENTITY_TERMS = (
     ("disabled", "deaf", "blind"),
     ("old", "young"),
 )
-#: The classifier is fitted on at most this many labelled rows, those of smallest id hash with texts
-#: of at most so many bytes; scoring reads whole texts.
+#: The classifier is fitted on at most this many labelled rows, those of smallest hash of id and text,
+#: of equal rows one, with texts of at most so many bytes; scoring reads whole texts.
 LABELLED = 20_000
 LABELLED_BYTES = 1 << 16
 #: A word is a feature if so many labelled documents hold it and its log odds ratio between the labels
@@ -114,10 +114,8 @@ def fit(
 def labelled_rows(rows: DataFrame, labels: DataFrame, label: str, id_col: str) -> list[tuple[np.ndarray, int]]:
     """Hashed words and label of at most LABELLED rows."""
     known = labels.groupBy(labels[id_col].alias("doc_id")).agg(F.max(labels[label]).cast("int").alias("label"))
-    chosen = known.where("label IS NOT NULL").withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
-    short = rows.where(F.octet_length("text") <= LABELLED_BYTES)
-    ids = chosen.join(short.select("doc_id").distinct(), "doc_id").orderBy("h", "doc_id").limit(LABELLED)
-    found = short.select("doc_id", "text").join(ids, "doc_id")
+    short = rows.where(F.octet_length("text") <= LABELLED_BYTES).select("doc_id", "text")
+    found = row_sample(short.join(known.where("label IS NOT NULL"), "doc_id"), LABELLED, label=F.col("label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -15,13 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreline.llm.common import SLICE_BYTES, column, id_text
+from scoreline.llm.common import SLICE_BYTES, column, id_text, row_sample
 from scoreline.llm.statistics import COUNTS, SHARES, statistics_of
 
 #: Share of bad documents that EM starts from.
 BAD_SHARE = 0.15
 BUCKETS = 2048
-#: The scorer is trained on about this many documents, those of smallest id hash.
+#: The scorer is trained on at most this many documents, those of smallest hash of id and text; of
+#: equal rows one.
 SAMPLE = 6000
 
 
@@ -110,9 +111,6 @@ def weak_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = id_text(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
     context = rows.sparkSession.sparkContext
-    order = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000))
-    total = rows.count()
-    share = int(min(1.0, SAMPLE / max(1, total)) * 1_000_000)
 
     def run_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,7 +132,7 @@ def weak_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table = np.array([p for p, _ in counted], np.int64)
     good = fit_votes(table, np.array([n for _, n in counted], float))[0] if counted else []
     known = {p: float(q) for (p, _), q in zip(counted, good)}
-    found = rows.where(order < share).select("text").mapInArrow(run_sample, "x binary, votes array<int>").collect()
+    found = row_sample(rows, SAMPLE).mapInArrow(run_sample, "x binary, votes array<int>").collect()
     found = sorted((bytes(x), tuple(v)) for x, v in found)
     x = np.array([np.frombuffer(x, np.float16) for x, _ in found], np.float32).reshape(len(found), BUCKETS + 1)
     weights = fit_scorer(x, np.array([known[v] for _, v in found]))
