@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from scoreline.llm import (
-    bpe_codec, decontaminate, lm, quality_rules, simhash, suffix_dedup, token_counts, toxicity, warc, weak_labels,
+    bpe_codec, decontaminate, lm, quality_rules, simhash, spelling, suffix_dedup, token_counts, toxicity, warc,
+    weak_labels,
 )
 
 
@@ -66,6 +67,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"), segment=PAGE_SEGMENT).drop("problem")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,7 +81,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_lm_scores, op3_quality_rules, op4_simhash, op5_suffix_dedup, op6_toxicity,
-        op7_bpe_codec, op8_weak_quality, op9_decontamination, op10_warc, pipeline,
+        op7_bpe_codec, op8_weak_quality, op9_decontamination, op10_warc, op13_spelling_variants, pipeline,
     )
 }
 
@@ -114,4 +119,33 @@ cut AS (SELECT doc_id, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans, max
 SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
        sha256(unhex(CASE WHEN last IS NULL THEN h ELSE front || substr(h, 2 * last + 1) END)) AS kept_sha256
 FROM sized LEFT JOIN cut USING (doc_id)""",
+    "op13_spelling_variants": """
+WITH RECURSIVE
+crc AS (SELECT list_transform(generate_series(0, 255), lambda i: list_reduce(list_prepend(i, generate_series(1, 8)),
+            lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+low AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+               translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s FROM documents),
+found AS (SELECT id, unnest(regexp_extract_all(s, '[a-zÀ-ÿ]+')) AS run FROM low),
+runs AS (SELECT id, run, count(*) AS n, hex(encode(id || ':' || run)) AS b FROM found
+         WHERE length(run) >= 7 GROUP BY id, run),
+hashed AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(
+                      generate_series(0, length(b) // 2 - 1), lambda i:
+                      16 * (strpos('0123456789ABCDEF', b[2 * i + 1]) - 1) + strpos('0123456789ABCDEF', b[2 * i + 2]) - 1)),
+                  lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) AS h FROM runs, crc),
+left_over AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2)
+                          ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM left_over WHERE length(word) >= 7
+          GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT word, n, p, left(word, p) || substr(word, p + 2) AS rest
+        FROM words, unnest(generate_series(0, length(word) - 1)) AS t(p)),
+near AS (SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+         UNION SELECT a.word, b.word FROM cut a JOIN words b ON a.rest = b.word
+         UNION SELECT b.word, a.word FROM cut a JOIN words b ON a.rest = b.word),
+best AS (SELECT near.word, count(*) AS n_near, max(o.n) AS most,
+                arg_min(other, (-o.n, encode(other))) AS first FROM near JOIN words o ON o.word = near.other GROUP BY near.word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * w.n THEN first END AS form,
+                 CASE WHEN most >= 10 * w.n THEN most END AS form_n FROM words w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root, form AS next FROM forms
+          UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN forms f ON f.word = c.next)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, root FROM chain WHERE next IS NULL) USING (word)""",
 }
