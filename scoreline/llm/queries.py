@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from scoreline.llm import (
-    bpe_codec, decontaminate, lm, quality_rules, simhash, spelling, suffix_dedup, token_counts, toxicity, warc,
-    weak_labels,
+    bpe_codec, decontaminate, language_id, lm, quality_rules, simhash, spelling, suffix_dedup, token_counts,
+    toxicity, warc, weak_labels, whitening,
 )
 
 
@@ -67,6 +67,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"), segment=PAGE_SEGMENT).drop("problem")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -81,7 +89,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_lm_scores, op3_quality_rules, op4_simhash, op5_suffix_dedup, op6_toxicity,
-        op7_bpe_codec, op8_weak_quality, op9_decontamination, op10_warc, op13_spelling_variants, pipeline,
+        op7_bpe_codec, op8_weak_quality, op9_decontamination, op10_warc, op11_language_id, op12_whitening,
+        op13_spelling_variants, pipeline,
     )
 }
 
