@@ -105,11 +105,18 @@ def project_features(df: DataFrame, spec: FeatureSpec, keep_id: bool = True) ->
     return df.select(*head, *spec.features)
 
 
+def column_defaults(spec: FeatureSpec) -> dict[str, Column]:
+    """What a feature counts as where it wasn't given."""
+    return (
+        {c: F.lit(0.0) for c in spec.numeric}
+        | {c: F.lit(0).cast("bigint") for c in spec.binary}
+        | {c: F.lit("No") for c in spec.categorical}
+    )
+
+
 def fill_missing_columns(df: DataFrame, spec: FeatureSpec, fill_nulls: bool = False) -> DataFrame:
     """Absent columns get a default; null cells only when asked for."""
-    defaults = {c: F.lit(0.0) for c in spec.numeric}
-    defaults |= {c: F.lit(0).cast("bigint") for c in spec.binary}
-    defaults |= {c: F.lit("No") for c in spec.categorical}
+    defaults = column_defaults(spec)
     new = {c: v for c, v in defaults.items() if c not in df.columns}
     if fill_nulls:
         new |= {c: F.coalesce(F.col(c), v) for c, v in defaults.items() if c in df.columns}

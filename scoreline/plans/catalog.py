@@ -115,6 +115,26 @@ def fill_missing_columns(spark, sf):
     return clean.scoring_input(partial, B.CUSTOMERS)
 
 
+@query
+def score_records(spark, sf):
+    """Records from CSV files of three headers in one folder: in order, reversed with a column more,
+    and turned with three columns less; scored with the defaults for what a file lacks."""
+    folder = fresh_dir(spark, "records")
+    names = [f.name for f in B.CUSTOMERS.clean_schema().fields if f.name != B.CUSTOMERS.target]
+    rows = B.customers(spark, sf).withColumn("extra", F.lit("x,\"y\""))
+    layouts = (names, ["extra", *reversed(names)], [n for n in names[3:] + names[:3] if n not in B.OPTIONAL])
+    part = F.col("customerID").cast("bigint") % len(layouts)
+    for i, layout in enumerate(layouts):
+        rows.where(part == i).select(*layout).write.mode("append").option("header", True).csv(folder)
+    defaults = clean.column_defaults(B.CUSTOMERS)
+    records = tables.read_records(spark, folder, B.CUSTOMERS.clean_schema(), "csv", defaults)
+    scored = B.score_from_profile(clean.scoring_input(records, B.CUSTOMERS))
+    return scored.select(
+        *names, C.threshold_label(F.col("probability")).alias("label"),
+        C.round_half_even(F.col("probability"), 4).alias("churn_probability"),
+    )
+
+
 @query
 def normalize_ground_truth(spark, sf):
     raw = B.raw_customers(spark, sf)

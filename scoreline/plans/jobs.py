@@ -58,7 +58,7 @@ def benchmark(spark: SparkSession, a) -> None:
 
 def predict(spark: SparkSession, a) -> None:
     """Score a file of cleaned records to CSV."""
-    records = tables.read_records(spark, a.input, TELCO.clean_schema(), a.format)
+    records = tables.read_records(spark, a.input, TELCO.clean_schema(), a.format, clean.column_defaults(TELCO))
     scored = models.score(records, TELCO, models.load(a.model), threshold=a.threshold)
     sinks.write_predictions_csv(scored, a.output, TELCO)
     views.score_batch_summary(scored.withColumn("prediction", F.col("label"))).show()
@@ -66,10 +66,10 @@ def predict(spark: SparkSession, a) -> None:
 
 def publish(spark: SparkSession, a) -> None:
     """A raw CSV folder as keyed JSON events, resumable by its checkpoint."""
-    rows = spark.readStream.schema(TELCO.raw_schema()).option("header", True)
-    rows = rows.option("maxFilesPerTrigger", a.files_per_batch).csv(a.input)
     sink = _endpoint(a.sink, a.output, a.option)
-    flows.publish_stream(rows, TELCO.id, sink, a.checkpoint, dry_run=a.dry_run).awaitTermination()
+    flows.publish_csv(
+        spark, a.input, TELCO, sink, a.checkpoint, files_per_batch=a.files_per_batch, dry_run=a.dry_run
+    ).awaitTermination()
 
 
 def consume(spark: SparkSession, a) -> None:

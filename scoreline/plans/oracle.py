@@ -321,6 +321,16 @@ BODIES: dict[str, str] = {
     "fill_missing_columns": """
         SELECT "customerID", tenure, "MonthlyCharges", CAST(0.0 AS DOUBLE) AS "TotalCharges",
                CAST(0 AS BIGINT) AS "SeniorCitizen", "PaperlessBilling", "Contract", 'No' AS "Region" FROM cust""",
+    "score_records": """
+        SELECT "customerID", tenure, "MonthlyCharges", "TotalCharges", "SeniorCitizen", "PaperlessBilling", "Contract",
+               "Region", CASE WHEN p >= 0.5 THEN 'Yes' ELSE 'No' END AS label,
+               round_even(CAST(p * 10000 AS DOUBLE), 0) / 10000 AS churn_probability
+        FROM (SELECT * EXCLUDE (ck), least(CAST(tenure AS BIGINT) % 32 + 16 * "SeniorCitizen"
+                         + CASE WHEN "Region" = 'No' THEN 8 ELSE length("Region") % 8 END, 64) / 64.0 AS p
+              FROM (SELECT * REPLACE (CASE WHEN ck % 3 < 2 THEN "TotalCharges" ELSE CAST(0 AS DOUBLE) END AS "TotalCharges",
+                                      CASE WHEN ck % 3 < 2 THEN "SeniorCitizen" ELSE CAST(0 AS BIGINT) END AS "SeniorCitizen",
+                                      CASE WHEN ck % 3 < 2 THEN "Region" ELSE 'No' END AS "Region")
+                    FROM cust) AS given) AS scored""",
     "normalize_ground_truth": """
         SELECT "customerID", CASE WHEN "PaperlessBilling" = 1 THEN 'Yes' WHEN "PaperlessBilling" = 0 THEN 'No' END AS label,
                "PaperlessBilling" AS label_int FROM raw""",

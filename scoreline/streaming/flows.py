@@ -18,12 +18,16 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from scoreline.operators import merge, views
 from scoreline.session import fresh_dir
+from scoreline.sources import tables
 from scoreline.sources.store import Store
 from scoreline.spec import FeatureSpec
 from scoreline.streaming import events
 
 KEYED = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])
 
+#: What Spark tells of a file.
+FILES = "path string, modificationTime timestamp, length bigint, content binary"
+
 
 @dataclass(frozen=True)
 class Endpoint:
@@ -174,6 +178,32 @@ def publish_stream(
     return _start(table, handle, checkpoint, trigger)
 
 
+def publish_csv(
+    spark: SparkSession, path: str, spec: FeatureSpec, sink: Endpoint, checkpoint: str, *,
+    files_per_batch: int = 100, blank: str = "keep", trigger: dict | None = None, dry_run: bool = False,
+) -> StreamingQuery:
+    """A folder of raw CSV files, each read by its own header, as keyed JSON events.
+
+    The stream is one of file names: a micro-batch takes up to files_per_batch new files and reads
+    them as a batch does, so that files of different headers keep their columns apart. A repeated
+    batch has the same files and overwrites itself.
+    """
+    names = spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", files_per_batch)
+    names = names.load(path).select("path")  # no content is read
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        files = sorted(r.path for r in batch.collect())  # at most files_per_batch
+        if not files:
+            return
+        keyed = events.encode(tables.read_raw_csv(spark, path, spec, blank, files=files), spec.id)
+        if dry_run:
+            keyed.write.format("noop").mode("overwrite").save()
+        else:
+            write_keyed(keyed, sink, batch_id)
+
+    return _start(names, handle, checkpoint, trigger)
+
+
 def volume(df: DataFrame, at: str, bucket: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Rows per tumbling window of a stream; rows later than `late` no longer count."""
     counted = df.withWatermark(at, late).groupBy(F.window(at, bucket)).agg(F.count(F.lit(1)).alias("count"))

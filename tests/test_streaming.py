@@ -42,13 +42,13 @@ def routed(spark, values, p=0.82, **options):
 
 def test_a_valid_event(spark):
     one = events.predictions(routed(spark, [event()]), TELCO).first()
-    assert (one.customerID, one.churn_probability, one.prediction) == ("CUST-0001", 0.82, "Yes")
+    assert (one.customerID, one.churn_probability, one.prediction) == ("line-0001", 0.82, "Yes")
     assert (one.event_ts, one.processed_ts, one.actual_churn) == ("2024-01-01T00:00:00Z", STAMP, "No")
     hidden = events.predictions(routed(spark, [event()]), TELCO, include_ground_truth=False).first()
     assert hidden.actual_churn is None
     unlabelled = events.predictions(routed(spark, [without(event(), "Churn")]), TELCO)
     message = json.loads(events.encode_predictions(unlabelled, TELCO).first().value)
-    assert "actual_churn" not in message and message["customerID"] == "CUST-0001"
+    assert "actual_churn" not in message and message["customerID"] == "line-0001"
 
 
 def test_threshold(spark):
@@ -86,7 +86,7 @@ def test_every_input_has_one_output(spark):
     assert events.predictions(out, TELCO).count() == len(good)
     dead = events.dead_letters(out).collect()
     assert sorted(r.error for r in dead) == sorted(e for _, e in REJECTED)
-    assert {r.error: r.key for r in dead}[events.MISSING + "['tenure']"] == "CUST-0001"
+    assert {r.error: r.key for r in dead}[events.MISSING + "['tenure']"] == "line-0001"
     assert {r.key for r in dead if r.error == events.JSON_ERROR} == {"unknown"}
     assert {r.original for r in dead} >= {v for v, _ in REJECTED if isinstance(v, str)}
     n = events.counters(out).first()
@@ -133,12 +133,12 @@ def test_stream_restarts_without_loss_or_repeat(spark, tmp_path):
     run()
     run()
     scored = flows.read_output(spark, out, "predictions")
-    assert sorted(r.customerID for r in scored.collect()) == ["CUST-0001", "CUST-0002", "CUST-0003"]
+    assert sorted(r.customerID for r in scored.collect()) == ["line-0001", "line-0002", "line-0003"]
     assert flows.read_output(spark, out, "dead_letters").count() == 2
     totals = flows.read_output(spark, out, "counters").agg(F.sum("consumed"), F.sum("predicted"), F.sum("dead_lettered")).first()
     assert tuple(totals) == (5, 3, 2)
     sent = spark.read.schema(flows.KEYED).json(sink.path)
-    assert sorted(r.key for r in sent.collect()) == ["CUST-0001", "CUST-0002", "CUST-0003"]
+    assert sorted(r.key for r in sent.collect()) == ["line-0001", "line-0002", "line-0003"]
     dead = [json.loads(r.value) for r in spark.read.schema(flows.KEYED).json(letters.path).collect()]
     assert sorted(d["original"] for d in dead)[1] == "garbage" or "garbage" in {d["original"] for d in dead}
 
@@ -230,7 +230,8 @@ def test_closed_windows_appear_and_late_rows_do_not(spark, tmp_path):
 def test_file_sources_and_sinks(spark, tmp_path):
     csv = str(tmp_path / "raw.csv")
     header = ",".join(TELCO.raw_columns)
-    lines = [",".join(str(raw_row(i)[c]) for c in TELCO.raw_columns) for i in range(5)]
+    rows = [raw_row(i, **({"TotalCharges": " "} if i == 4 else {})) for i in range(5)]
+    lines = [",".join(str(r[c]) for c in TELCO.raw_columns) for r in rows]
     with open(csv, "w") as f:
         f.write("\n".join([header, *lines]))
     raw = tables.read_raw_csv(spark, csv, TELCO)
