@@ -20,16 +20,22 @@ def read_raw_csv(
 ) -> DataFrame:
     """Header CSV with the landing schema (all text); typing belongs to cleaning.
 
-    Columns are found by name in each file's header; one that a file lacks is null there, and one
-    that no file has is refused. blank="null" turns unreadable cells of the lenient columns into null
-    instead of leaving them to the cleaner's 0.0, as the event publisher needs it.
+    Columns are found by name in each file's header; one that a file lacks is null there. A file
+    without the id is refused and, for a whole path, so is a column that no file has; of the files of
+    a micro-batch, which are given, any may lack it. blank="null" turns unreadable cells of the
+    lenient columns into null instead of leaving them to the cleaner's 0.0, as the event publisher
+    needs it.
     """
     if blank not in ("keep", "null"):
         raise ValueError(f"unknown blank: {blank}")
     there = headers.files_of(spark, path) if files is None else list(files)
-    named = {n for names in headers.headers(spark, there).values() for n in names}
-    absent = [c for c in spec.raw_columns if c not in named and c != spec.target_raw]
-    if named and absent:
+    named = headers.headers(spark, there)
+    for file, names in named.items():
+        if spec.id not in names:
+            raise ValueError(f"{file}: the header has no {spec.id}")
+    found = {n for names in named.values() for n in names}
+    absent = [c for c in spec.raw_columns if c not in found and c != spec.target_raw]
+    if named and absent and files is None:
         raise ValueError(f"{path}: no file has the columns {', '.join(absent)}")
     raw = headers.read_csv(spark, path, spec.raw_schema(), files=there)
     if blank == "keep":

@@ -112,5 +112,8 @@ def test_headers_of_odd_files(spark, tmp_path):
     with pytest.raises(ValueError, match="a more than once"):
         headers.read_csv(spark, str(tmp_path / "twice.csv"), schema)
     (tmp_path / "other.csv").write_text("x,y\n1,2\n")
-    with pytest.raises(ValueError, match="no file has the columns"):
+    with pytest.raises(ValueError, match="no customerID"):
+        tables.read_raw_csv(spark, str(tmp_path / "other.csv"), TELCO)
+    (tmp_path / "other.csv").write_text("customerID,tenure\n1,2\n")
+    with pytest.raises(ValueError, match="no file has the columns MonthlyCharges"):
         tables.read_raw_csv(spark, str(tmp_path / "other.csv"), TELCO)
