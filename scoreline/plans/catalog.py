@@ -659,17 +659,29 @@ def feature_importance(spark, sf):
 
 @query
 def monitoring_cycle(spark, sf):
+    """What a cycle has published: its metric rows, its run row, and whether all alerts are there."""
     reference, current = B.windows(spark, sf)
-    result = cycle.run_cycle(
-        spark,
-        window=current,
-        reference_scores=reference,
-        raw_window=current,
-        reference=reference,
-        config=cycle.CycleConfig(numeric=("churn_probability",), categorical=("contract",)),
-        dry_run=True,
-    )
-    return result.run.drop("run_ts", "run_id")
+    store = Store(spark, fresh_dir(spark, "cycle"))
+    config = cycle.CycleConfig(numeric=NUMERIC, categorical=("contract", "model_version"))
+    cycle.run_cycle(
+        spark, window=current, reference_scores=reference, raw_window=current, reference=reference,
+        config=config, store=store,
+    )
+    none = F.lit(None)
+    drifts = store.committed("drift_metrics").select(
+        F.concat_ws("/", "drift_type", "statistic_name", "feature_name").alias("name"),
+        F.round("statistic_value", 4).alias("value"), F.col("is_drifted").alias("flag"), none.cast("bigint").alias("n"),
+    )
+    measured = store.committed("performance_metrics").select(
+        F.concat(F.lit("performance/"), "metric_name").alias("name"),
+        F.round("metric_value", 4).alias("value"), none.cast("boolean").alias("flag"), F.col("sample_size").alias("n"),
+    )
+    alerted = store.committed("alerts").select(F.count(F.lit(1)).alias("there")).scalar()
+    run = store.committed("monitoring_runs").select(
+        F.concat(F.lit("run/"), "status").alias("name"), none.cast("double").alias("value"),
+        ((F.col("alerts_fired") == alerted) & F.col("drift_detected")).alias("flag"), F.col("records_processed").alias("n"),
+    )
+    return drifts.union(measured).union(run)
 
 
 # Streaming -------------------------------------------------------------------------------

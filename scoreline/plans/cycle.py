@@ -64,13 +64,19 @@ def run_cycle(
     run_ts: datetime | None = None,
     run_id: str | None = None,
     model_version: str | None = None,
+    segments: DataFrame | None = None,
     dry_run: bool = False,
 ) -> CycleResult:
     """Monitors `window` (scored rows) and `raw_window` (feature rows) against their references.
 
     The heavy work is one Spark job per statistic family over the windows; what comes to the
-    driver are metric rows, a few per monitored column. A failing step is skipped and named in
-    the notes. Metrics are written first, the run row last: it commits the cycle.
+    driver are metric rows, a few per monitored column. `segments` (customer_id, contract, in order
+    of `arrival`) fills null segments of the stored log.
+
+    A step that fails is named in the notes and makes the cycle `partial`; the others go on. All
+    tables of the cycle are published by one manifest row at its end, so a reader sees all of it or
+    nothing. Where the cycle itself fails, at whatever point, a run row of status `error` is
+    published in its place, with what had been counted until then, and the error is raised.
     """
     require_utc(spark)
     at = run_ts or datetime.now(timezone.utc).replace(microsecond=0)
@@ -78,6 +84,8 @@ def run_cycle(
     if not dry_run and store is None:
         raise ValueError("a store is needed unless dry_run is set")
     notes: dict[str, str] = {}
+    broken: list[str] = []
+    known = {"n": 0, "drifted": False, "degraded": False, "fired": 0}
     metric_schema = _columns("drift_metrics", "run_id", "computed_at")
 
     def attempt(step: str, ready: bool, why: str, job: Callable[[], list]) -> list:
@@ -87,17 +95,18 @@ def run_cycle(
         try:
             return job()
         except Exception as error:  # a failing step must not lose the others
-            logger.warning("%s skipped", step, exc_info=True)
-            notes[step] = f"skipped: {type(error).__name__}"
+            logger.warning("step %s failed", step, exc_info=True)
+            notes[step] = f"failed: {type(error).__name__}"
+            broken.append(step)
             return []
 
     try:
-        n = views.row_count(window).first()["n"]
+        n = known["n"] = views.row_count(window).first()["n"]
 
         predicted = attempt(
             "prediction_drift",
             n > 0 and reference_scores is not None,
-            "no records in window" if n == 0 else "training reference unavailable",
+            "empty window" if n == 0 else "no reference scores",
             lambda: drift.prediction_drift(
                 reference_scores,
                 window,
@@ -122,10 +131,15 @@ def run_cycle(
                 buckets=config.buckets,
             ).collect(),
         )
+        if segments is not None and not dry_run:
+            order = ["arrival"] if "arrival" in segments.columns else []
+            filled = attempt("backfill", True, "", lambda: [store.backfill_predictions(segments, order)])
+            if filled:
+                notes["backfill"] = f"{filled[0]} rows"
         measured = attempt(
             "performance",
             n > 0,
-            "no records in window",
+            "empty window",
             lambda: metrics.performance_report(
                 window,
                 baseline_roc_auc=config.baseline_roc_auc,
@@ -146,7 +160,7 @@ def run_cycle(
                 "baseline_roc_auc double, degradation_tolerance double, window_start timestamp, " \
                 "window_end timestamp, model_version string"
             report = spark.createDataFrame([tuple(measured[0])], fields)
-            notes["performance"] = measured[0]["reason"] if measured[0]["has_ground_truth"] else "no ground truth"
+            notes["performance"] = measured[0]["reason"] if measured[0]["has_ground_truth"] else "no labels"
         performance = (
             metrics.performance_rows(report)
             if report is not None
@@ -167,29 +181,44 @@ def run_cycle(
         for step, rows in (("prediction_drift", predicted), ("data_drift", observed)):
             if not rows:
                 notes.setdefault(step, f"skipped: fewer than {config.min_sample} records")
-        drifted = any(
+        drifted = known["drifted"] = any(
             r["is_drifted"]
             for r in predicted + observed
             if not (r["drift_type"] == "prediction" and r["statistic_name"] == "ks")
         )
-        degraded = bool(measured and measured[0]["degraded"])
-        status = "ok"
+        degraded = known["degraded"] = bool(measured and measured[0]["degraded"])
+        known["fired"] = len(fired_rows)
+        status = "partial" if broken else "ok"
         result = _result(
             spark, at, run, drift_rows, performance, fired,
             (n, drifted, degraded, len(fired_rows), config.retrain_enabled and drifted, status,
-             "; ".join(f"{k}={v}" for k, v in sorted(notes.items()))),
+             _text(notes)),
         )
-    except Exception:
         if not dry_run:
-            failed = (0, False, False, 0, False, "error", "monitoring cycle raised, see logs")
-            store.append("monitoring_runs", _run_row(spark, at, run, failed))
+            store.commit(
+                {
+                    "drift_metrics": result.drift,
+                    "performance_metrics": result.performance,
+                    "alerts": result.alerts,
+                    "monitoring_runs": result.run,
+                },
+                run,
+                status,
+            )
+        return result
+    except Exception as error:
+        if not dry_run:
+            notes["cycle"] = f"stopped by {type(error).__name__}"
+            counted = (known["n"], known["drifted"], known["degraded"], known["fired"], False, "error", _text(notes))
+            try:
+                store.commit({"monitoring_runs": _run_row(spark, at, run, counted)}, run, "error")
+            except Exception:  # the store itself may be what fails; the first error is the one to raise
+                logger.exception("the failed cycle could not be recorded")
         raise
-    if not dry_run:
-        store.append("drift_metrics", result.drift)
-        store.append("performance_metrics", result.performance)
-        store.append("alerts", result.alerts)
-        store.append("monitoring_runs", result.run)
-    return result
+
+
+def _text(notes: dict[str, str]) -> str:
+    return "; ".join(f"{k}={v}" for k, v in sorted(notes.items()))
 
 
 def _run_row(spark: SparkSession, at: datetime, run: str, values: tuple) -> DataFrame:

@@ -110,13 +110,22 @@ def monitor(spark: SparkSession, a) -> None:
     reference = tables.read_split(spark, a.reference, "train")
     model = models.load(a.model) if a.model else None
     raw: DataFrame | None = None
+    segments: DataFrame | None = None
     if a.raw_events:
         raw, _ = events.feature_rows(spark.read.schema(flows.KEYED).json(a.raw_events), TELCO)
+        segments = raw.select(F.col(TELCO.id).alias("customer_id"), F.col(TELCO.segment).alias("contract"))
+    scores: DataFrame | None = None
+    if model and a.model_version:  # scored once for each version
+        scores = store.kept(f"reference_scores/{a.model_version}", lambda: models.reference_scores(reference, TELCO, model))
+    elif model:
+        scores = models.reference_scores(reference, TELCO, model)
     result = run_cycle(
         spark,
         window=window,
-        reference_scores=models.reference_scores(reference, TELCO, model) if model else None,
+        reference_scores=scores,
         raw_window=raw,
+        segments=segments,
+        model_version=a.model_version,
         reference=reference,
         config=CycleConfig(retrain_enabled=a.retrain),
         store=store,
@@ -193,6 +202,7 @@ def parser() -> argparse.ArgumentParser:
 
     p = job(monitor, "store", "reference")
     p.add_argument("--model")
+    p.add_argument("--model-version", help="kept with the metrics; reference scores are made once for each")
     p.add_argument("--raw-events")
     p.add_argument("--window", type=int, help="newest rows only; default is the whole log")
     p.add_argument("--retrain", action="store_true")

@@ -428,6 +428,25 @@ BODIES: dict[str, str] = {
     "data_drift": "SELECT * FROM drift_rows WHERE drift_type = 'data'",
     "drift_report": """
         SELECT drift_type, statistic_name, count(*) AS n, count(*) FILTER (is_drifted) AS n_drifted FROM drift_rows GROUP BY ALL""",
+    "monitoring_cycle": """
+        SELECT concat_ws('/', drift_type, statistic_name, feature_name) AS name, round(statistic_value, 4) AS value,
+               is_drifted AS flag, CAST(NULL AS BIGINT) AS n FROM drift_rows
+        UNION ALL
+        SELECT 'performance/' || name, round(value, 4), NULL, n
+        FROM (SELECT n, unnest(['accuracy', 'precision', 'recall', 'f1', 'roc_auc']) AS name,
+                     unnest([(tp + tn) / CAST(n AS DOUBLE), tp / CAST(tp + fp AS DOUBLE), tp / CAST(tp + fn AS DOUBLE),
+                             2 * tp / CAST(2 * tp + fp + fn AS DOUBLE), area]) AS value
+              FROM (SELECT count(*) AS n, count(*) FILTER (actual_churn = 1 AND prediction = 'Yes') AS tp,
+                           count(*) FILTER (actual_churn = 0 AND prediction = 'Yes') AS fp,
+                           count(*) FILTER (actual_churn = 1 AND prediction = 'No') AS fn,
+                           count(*) FILTER (actual_churn = 0 AND prediction = 'No') AS tn FROM cur) AS c
+              CROSS JOIN (SELECT sum(pos * (below + neg / 2.0)) / (CAST(sum(pos) AS DOUBLE) * sum(neg)) AS area
+                          FROM (SELECT *, sum(neg) OVER (ORDER BY churn_probability) - neg AS below
+                                FROM (SELECT churn_probability, sum(actual_churn) AS pos, sum(1 - actual_churn) AS neg
+                                      FROM cur GROUP BY 1) AS s) AS r) AS a) AS p
+        UNION ALL
+        SELECT 'run/ok', NULL, (SELECT count(*) > 0 FROM drift_rows WHERE is_drifted
+                                AND NOT (drift_type = 'prediction' AND statistic_name = 'ks')), (SELECT count(*) FROM cur)""",
     "drift_matrix": """
         SELECT feature_name, arg_max(statistic_value, computed_at) FILTER (statistic_name = 'psi') AS psi,
                arg_max(statistic_value, computed_at) FILTER (statistic_name = 'ks') AS ks,

@@ -1,11 +1,15 @@
 """The monitoring tables on parquet.
 
-There is no transaction across tables. A cycle writes its metrics first and its run row last;
-readers that ask for committed rows see only cycles whose run row exists.
+The tables of a cycle become visible together. Each attempt writes its rows into folders of its own,
+which no reader looks at; one row in the manifest, a single small file, then publishes all of them.
+An attempt that ends before that leaves only folders without a manifest row.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Mapping
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +56,13 @@ TABLES: dict[str, T.StructType] = {
 
 PARTITIONS = {"predictions": ["processed_date"]}
 
+#: Tables that a cycle writes, published by the manifest.
+CYCLE_TABLES = ("drift_metrics", "performance_metrics", "alerts", "monitoring_runs")
+ATTEMPT = "attempt"
+MANIFEST = _schema((ATTEMPT, _S), ("run_id", _S), ("status", _S), ("published_at", _T))
+#: How a cycle may end: every step done, some step failed, or the cycle itself failed.
+STATUSES = ("ok", "partial", "error")
+
 
 def _rebalanced(df: DataFrame, table: str) -> DataFrame:
     """Rows of a day together, large days split and small ones joined by their actual size.
@@ -61,6 +72,10 @@ def _rebalanced(df: DataFrame, table: str) -> DataFrame:
     return df.hint("rebalance", *[F.col(c) for c in PARTITIONS[table]])
 
 
+def _shaped(df: DataFrame, table: str) -> DataFrame:
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[table].fields])
+
+
 class Store:
     """Tables under one folder of any file system Spark can write."""
 
@@ -74,8 +89,11 @@ class Store:
         return f"{self.path}/{table}"
 
     def exists(self, table: str) -> bool:
+        return self._there(self.location(table), TABLES[table])
+
+    def _there(self, path: str, schema: T.StructType) -> bool:
         try:
-            self.spark.read.schema(TABLES[table]).parquet(self.location(table)).schema
+            self.spark.read.schema(schema).parquet(path).schema
             return True
         except AnalysisException:
             return False
@@ -84,28 +102,86 @@ class Store:
         """Creates the missing tables; existing ones stay as they are."""
         for table in TABLES:
             if not self.exists(table):
-                self.append(table, self.spark.createDataFrame([], TABLES[table]))
+                empty = self.spark.createDataFrame([], TABLES[table])
+                if table in CYCLE_TABLES:
+                    self.stage("none", {table: empty})
+                else:
+                    self.append(table, empty)
+
+    def manifest(self) -> DataFrame:
+        """A row for each published attempt."""
+        path = f"{self.path}/_manifest"
+        if not self._there(path, MANIFEST):
+            return self.spark.createDataFrame([], MANIFEST)
+        return self.spark.read.schema(MANIFEST).parquet(path)
 
     def read(self, table: str) -> DataFrame:
-        """A table that was never written reads as empty."""
+        """A table that was never written reads as empty; rows that aren't published don't show."""
+        return self._published(table, STATUSES) if table in CYCLE_TABLES else self._plain(table)
+
+    def committed(self, table: str) -> DataFrame:
+        """Rows of cycles that came to their end, with all steps or with some."""
+        if table not in CYCLE_TABLES:
+            raise ValueError(f"{table} is not written by cycles")
+        return self._published(table, ("ok", "partial"))
+
+    def _plain(self, table: str) -> DataFrame:
         if not self.exists(table):
             return self.spark.createDataFrame([], TABLES[table])
         return self.spark.read.schema(TABLES[table]).parquet(self.location(table))
 
-    def committed(self, table: str) -> DataFrame:
-        """Rows of finished cycles."""
-        runs = self.read("monitoring_runs").where(F.col("status") == "ok").select("run_id").distinct()
-        return self.read(table).join(runs, "run_id", "left_semi")
+    def _published(self, table: str, statuses: tuple[str, ...]) -> DataFrame:
+        if not self.exists(table):
+            return self.spark.createDataFrame([], TABLES[table])
+        wide = T.StructType([*TABLES[table].fields, T.StructField(ATTEMPT, _S)])
+        rows = self.spark.read.schema(wide).parquet(self.location(table))
+        shown = self.manifest().where(F.col("status").isin(*statuses)).select(ATTEMPT).distinct()
+        return rows.join(shown, ATTEMPT, "left_semi").select(*TABLES[table].fieldNames())
+
+    def stage(self, attempt: str, tables: Mapping[str, DataFrame]) -> None:
+        """Writes the rows of an attempt where only publish() makes them visible. Staging the same
+        attempt again replaces them."""
+        for table, df in tables.items():
+            if table not in CYCLE_TABLES:
+                raise ValueError(f"{table} is not written by cycles")
+            _shaped(df, table).write.mode("overwrite").parquet(f"{self.location(table)}/{ATTEMPT}={attempt}")
+
+    def publish(self, attempt: str, run_id: str, status: str) -> None:
+        """Makes all tables of an attempt visible at once."""
+        if status not in STATUSES:
+            raise ValueError(f"unknown status: {status}")
+        row = self.spark.createDataFrame([(attempt, run_id, status)], "attempt string, run_id string, status string")
+        row = row.withColumn("published_at", F.current_timestamp()).coalesce(1)
+        row.write.mode("append").parquet(f"{self.path}/_manifest")
+
+    def commit(self, tables: Mapping[str, DataFrame], run_id: str, status: str) -> str:
+        """Stages and publishes the tables of a cycle; returns the attempt."""
+        attempt = uuid.uuid4().hex
+        self.stage(attempt, tables)
+        self.publish(attempt, run_id, status)
+        return attempt
 
     def append(self, table: str, df: DataFrame) -> None:
-        schema = TABLES[table]
-        shaped = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+        if table in CYCLE_TABLES:
+            raise ValueError(f"{table} is written by commit()")
+        shaped = _shaped(df, table)
         if table in PARTITIONS:
             by_day = _rebalanced(shaped, table).write.partitionBy(*PARTITIONS[table])
             by_day.mode("append").parquet(self.location(table))
         else:
             shaped.write.mode("append").parquet(self.location(table))
 
+    def kept(self, name: str, make) -> DataFrame:
+        """A table made once and read from then on, such as the reference scores of a model version.
+        It is written beside its place first, so a failed write leaves nothing that would be read."""
+        path = f"{self.path}/_kept/{name}"
+        marker = f"{path}/_made"
+        if not self._there(marker, MANIFEST):
+            make().write.mode("overwrite").parquet(f"{path}/rows")
+            done = self.spark.createDataFrame([(name, name, "ok", None)], MANIFEST)
+            done.coalesce(1).write.mode("overwrite").parquet(marker)
+        return self.spark.read.parquet(f"{path}/rows")
+
     def merge_predictions(self, rows: DataFrame, arrival: list[str]) -> int:
         """Appends the rows whose (customer_id, processed_ts) is new; returns their number.
 
@@ -138,7 +214,7 @@ class Store:
             new.unpersist()
 
     def backfill_predictions(self, source: DataFrame, arrival: list[str], column: str = "contract") -> int:
-        """Fills null cells of the stored log from `source`; returns the number of days rewritten.
+        """Fills null cells of the stored log from `source`; returns the number of rows filled.
 
         Only days that hold a fillable row are rewritten. The new content is written beside the
         table first, so a failed rewrite leaves a complete copy and can be repeated.
@@ -146,7 +222,8 @@ class Store:
         log = self.read("predictions")
         known = source.where(F.col(column).isNotNull()).select("customer_id").distinct()
         open_rows = log.where(F.col(column).isNull()).join(known, "customer_id", "left_semi")
-        days = [r[0] for r in open_rows.select("processed_date").distinct().collect()]
+        found = open_rows.groupBy("processed_date").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a day
+        days = [r.processed_date for r in found]
         if not days:
             return 0
         day = F.col("processed_date")
@@ -164,4 +241,4 @@ class Store:
             .partitionBy(*PARTITIONS["predictions"])
             .parquet(self.location("predictions"))
         )
-        return len(days)
+        return sum(r.n for r in found)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scoreline.operators import merge, registry, views
+from scoreline.operators import drift, metrics
 from scoreline.plans.cycle import CycleConfig, run_cycle
 from scoreline.sources.store import TABLES, Store
 
@@ -159,9 +160,9 @@ def test_cycle_writes_and_commits(spark, tmp_path):
     assert store.committed("drift_metrics").count() == 5
     assert store.committed("performance_metrics").count() == 5
     assert store.read("alerts").where("not acknowledged").count() == run.alerts_fired
-    # Metrics of a cycle without a run row stay invisible.
-    store.append("alerts", result.alerts.withColumn("run_id", F.lit("unfinished")))
-    assert store.committed("alerts").count() == run.alerts_fired
+    # Metrics of a cycle that was not published stay invisible.
+    store.stage("unfinished", {"alerts": result.alerts.withColumn("run_id", F.lit("unfinished"))})
+    assert store.committed("alerts").count() == store.read("alerts").count() == run.alerts_fired
 
 
 def test_cycle_degrades_to_skipped(spark, tmp_path):
@@ -169,14 +170,14 @@ def test_cycle_degrades_to_skipped(spark, tmp_path):
     few = scored(spark, 3, labels=False)
     run = run_cycle(spark, window=few, reference_scores=None, config=CONFIG, store=store).run.first()
     assert (run.records_processed, run.drift_detected, run.alerts_fired) == (3, False, 1)
-    assert "prediction_drift=skipped: training reference unavailable" in run.notes
-    assert "performance=no ground truth" in run.notes
+    assert "prediction_drift=skipped: no reference scores" in run.notes
+    assert "performance=no labels" in run.notes
     empty = run_cycle(spark, window=few.limit(0), reference_scores=few, config=CONFIG, dry_run=True)
     assert empty.alerts.first().severity == "critical" and empty.run.first().records_processed == 0
     assert store.read("monitoring_runs").count() == 1
     broken = few.withColumn("churn_probability", F.raise_error(F.lit("boom")).cast("double"))
     step = run_cycle(spark, window=broken, reference_scores=scored(spark, 50), config=CONFIG, dry_run=True)
-    assert "prediction_drift=skipped" in step.run.first().notes
+    assert "prediction_drift=failed" in step.run.first().notes and step.run.first().status == "partial"
 
 
 def test_cycle_records_its_failure(spark, tmp_path):
@@ -185,3 +186,100 @@ def test_cycle_records_its_failure(spark, tmp_path):
     with pytest.raises(Exception, match="boom"):
         run_cycle(spark, window=bad, reference_scores=None, config=CONFIG, store=store)
     assert store.read("monitoring_runs").first().status == "error"
+
+
+STEPS = {
+    "prediction_drift": (drift, "prediction_drift"),
+    "data_drift": (drift, "data_drift"),
+    "performance": (metrics, "performance_report"),
+    "backfill": (Store, "backfill_predictions"),
+}
+
+
+def whole_cycle(spark, store, run_id="r"):
+    window = scored(spark, 400, 0.5)
+    segments = log(spark, [("c1", 0.1, 0, "One year"), ("c2", 0.1, 0, "Two year")])
+    return run_cycle(spark, window=window, reference_scores=scored(spark, 500), raw_window=window, reference=scored(spark, 500),
+                     config=CONFIG, store=store, run_id=run_id, segments=segments)
+
+
+@pytest.mark.parametrize("step", list(STEPS))
+def test_a_failing_step_makes_the_cycle_partial(spark, tmp_path, monkeypatch, step):
+    def fail(*_, **__):
+        raise RuntimeError(step)
+
+    monkeypatch.setattr(*STEPS[step], fail)
+    store = Store(spark, str(tmp_path / "store"))
+    whole_cycle(spark, store)
+    run = store.committed("monitoring_runs").first()
+    assert (run.status, run.records_processed) == ("partial", 400) and f"{step}=failed: RuntimeError" in run.notes
+    kinds = {r.drift_type for r in store.committed("drift_metrics").collect()}
+    assert kinds == {"prediction", "data"} - {step.replace("_drift", "")}
+    assert (store.committed("performance_metrics").count() == 0) == (step == "performance")
+    assert store.committed("alerts").count() == run.alerts_fired
+
+
+@pytest.mark.parametrize("at", ["drift_metrics", "performance_metrics", "alerts", "monitoring_runs", "publish"])
+def test_a_failing_write_shows_no_half_of_a_cycle(spark, tmp_path, monkeypatch, at):
+    store, failed = Store(spark, str(tmp_path / "store")), []
+    stage, publish = Store.stage, Store.publish
+
+    def staged(self, attempt, tables):
+        for table, df in tables.items():
+            if table == at and not failed:
+                failed.append(table)
+                raise OSError(f"no space for {table}")
+            stage(self, attempt, {table: df})
+
+    def published(self, *args):
+        if at == "publish" and not failed:
+            failed.append(at)
+            raise OSError("no manifest")
+        publish(self, *args)
+
+    monkeypatch.setattr(Store, "stage", staged)
+    monkeypatch.setattr(Store, "publish", published)
+    with pytest.raises(OSError):
+        whole_cycle(spark, store)
+    assert failed == [at]
+    for table in ("drift_metrics", "performance_metrics", "alerts"):
+        assert store.committed(table).count() == store.read(table).count() == 0
+    assert store.committed("monitoring_runs").count() == 0
+    row = store.read("monitoring_runs").first()
+    assert (row.status, row.records_processed, row.drift_detected) == ("error", 400, True)
+    assert row.alerts_fired >= 2 and "cycle=stopped by OSError" in row.notes
+    whole_cycle(spark, store, "again")  # the next one is not touched by what the failed one left
+    assert [r.run_id for r in store.committed("monitoring_runs").collect()] == ["again"]
+    assert {r.run_id for r in store.committed("alerts").collect()} == {"again"}
+
+
+def test_a_store_that_cannot_be_written_raises_the_first_error(spark, tmp_path, monkeypatch):
+    def fail(self, *_):
+        raise OSError("read only")
+
+    monkeypatch.setattr(Store, "stage", fail)
+    store = Store(spark, str(tmp_path / "store"))
+    with pytest.raises(OSError, match="read only"):
+        whole_cycle(spark, store)
+    assert store.read("monitoring_runs").count() == 0
+
+
+def test_a_cycle_fills_segments_of_the_log(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.merge_predictions(log(spark, [("c1", 0.3, 0, None), ("c1", 0.4, 60, None), ("c2", 0.3, 0, "M"), ("c9", 0.3, 0, None)]), ["arrival"])
+    result = whole_cycle(spark, store)
+    assert "backfill=2 rows" in result.run.first().notes
+    rows = sorted((r.customer_id, r.contract) for r in store.read("predictions").collect())
+    assert rows == [("c1", "One year"), ("c1", "One year"), ("c2", "M"), ("c9", None)]
+
+
+def test_reference_scores_are_made_once_for_each_version(spark, tmp_path):
+    store, made = Store(spark, str(tmp_path / "store")), []
+
+    def make():
+        made.append(1)
+        return scored(spark, 5)
+
+    assert [store.kept("reference_scores/v1", make).count() for _ in range(2)] == [5, 5] and len(made) == 1
+    store.kept("reference_scores/v2", make)
+    assert len(made) == 2
