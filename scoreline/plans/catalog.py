@@ -24,7 +24,7 @@ from scoreline.operators import (
 from scoreline.plans import bindings as B
 from scoreline.plans import cycle
 from scoreline.session import fresh_dir
-from scoreline.sources import tables
+from scoreline.sources import records, tables
 from scoreline.sources.store import Store
 from scoreline.streaming import events, flows
 
@@ -662,7 +662,7 @@ def monitoring_cycle(spark, sf):
     """What a cycle has published: its metric rows, its run row, and whether all alerts are there."""
     reference, current = B.windows(spark, sf)
     store = Store(spark, fresh_dir(spark, "cycle"))
-    config = cycle.CycleConfig(numeric=NUMERIC, categorical=("contract", "model_version"))
+    config = cycle.CycleConfig(numeric=("churn_probability",), categorical=("contract", "model_version"))
     cycle.run_cycle(
         spark, window=current, reference_scores=reference, raw_window=current, reference=reference,
         config=config, store=store,
@@ -702,6 +702,28 @@ def stream_route_events(spark, sf):
     )
 
 
+@query
+def consume_records(spark, sf):
+    """The messages as topic files, consumed in windows that end inside files; whether every record
+    has come from one place of its own."""
+    out = fresh_dir(spark, "consume")
+    messages = B.raw_events(spark, sf).select("key", "value")
+    messages.repartition(2, "key").write.json(f"{out}/topic")
+    topic = records.Topic(spark, f"{out}/topic", f"{out}/position")
+    third = spark.read.text(f"{out}/topic").count() // 3 + 1
+    while flows.score_records(topic, B.CUSTOMERS, B.score_from_charges, f"{out}/t", max_records=third, processed_ts=_stamp()):
+        pass
+    place = F.struct("partition", "offset")
+    parts = []
+    for name in ("predictions", "dead_letters"):
+        rows = flows.read_output(spark, f"{out}/t", name)
+        parts.append(rows.select(F.lit(name).alias("table"), "batch_id", F.col("error" if name == "dead_letters" else "prediction").alias("outcome"), place.alias("place")))
+    whole = parts[0].union(parts[1])
+    return whole.groupBy("table", "outcome").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("place").alias("n_places")
+    )
+
+
 @query
 def stream_dead_letters(spark, sf):
     run = _scored_stream(spark, sf)

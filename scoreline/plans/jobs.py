@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from scoreline.operators import clean, models, quality, registry, split, views
 from scoreline.plans.cycle import CycleConfig, run_cycle
 from scoreline.session import fresh_dir
-from scoreline.sources import sinks, tables
+from scoreline.sources import records, sinks, tables
 from scoreline.sources.store import Store
 from scoreline.spec import TELCO
 from scoreline.streaming import events, flows
@@ -73,10 +73,18 @@ def publish(spark: SparkSession, a) -> None:
 
 
 def consume(spark: SparkSession, a) -> None:
-    """Score events: all available ones with a report, or continuously."""
-    source = flows.read_events(spark, _endpoint(a.source, a.input, a.option), a.per_batch)
+    """Score events: all available ones with a report, continuously, or a bounded number of records."""
     scorer = models.as_scorer(models.load(a.model))
     checkpoint = fresh_dir(spark, "dry-run") if a.dry_run else a.checkpoint
+    if a.max_records:
+        topic = records.Topic(spark, a.input, checkpoint)
+        n = flows.score_records(
+            topic, TELCO, scorer, a.output, max_records=a.max_records, threshold=a.threshold,
+            include_ground_truth=not a.no_ground_truth, dry_run=a.dry_run,
+        )
+        print(f"{n} records")
+        return
+    source = flows.read_events(spark, _endpoint(a.source, a.input, a.option), a.per_batch)
     trigger = {"processingTime": a.every} if a.every else None
     query = flows.score_stream(
         source, TELCO, scorer, a.output, checkpoint,
@@ -99,6 +107,10 @@ def consume(spark: SparkSession, a) -> None:
 
 def ingest(spark: SparkSession, a) -> None:
     """Prediction messages into the log, each (customer, time) once."""
+    if a.max_records:
+        topic = records.Topic(spark, a.input, a.checkpoint)
+        print(f"{flows.ingest_records(topic, Store(spark, a.store), f'{a.store}/_quarantine', a.max_records)} records")
+        return
     source = flows.read_events(spark, _endpoint(a.source, a.input, a.option), a.per_batch)
     flows.ingest_stream(source, Store(spark, a.store), a.checkpoint, f"{a.store}/_quarantine").awaitTermination()
 
@@ -188,6 +200,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--source", default="json")
     p.add_argument("--option", action="append", default=[])
     p.add_argument("--per-batch", type=int)
+    p.add_argument("--max-records", type=int, help="stop after exactly so many records of JSON files")
     p.add_argument("--threshold", type=float, default=0.5)
     p.add_argument("--no-ground-truth", action="store_true")
     p.add_argument("--every", help="trigger interval of a continuous run, such as '10 seconds'")
@@ -199,6 +212,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--source", default="json")
     p.add_argument("--option", action="append", default=[])
     p.add_argument("--per-batch", type=int)
+    p.add_argument("--max-records", type=int, help="stop after exactly so many records of JSON files")
 
     p = job(monitor, "store", "reference")
     p.add_argument("--model")

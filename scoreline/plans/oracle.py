@@ -428,6 +428,9 @@ BODIES: dict[str, str] = {
     "data_drift": "SELECT * FROM drift_rows WHERE drift_type = 'data'",
     "drift_report": """
         SELECT drift_type, statistic_name, count(*) AS n, count(*) FILTER (is_drifted) AS n_drifted FROM drift_rows GROUP BY ALL""",
+    "consume_records": """
+        SELECT CASE WHEN error IS NULL THEN 'predictions' ELSE 'dead_letters' END AS "table",
+               coalesce(error, label) AS outcome, count(*) AS n, count(*) AS n_places FROM routed GROUP BY ALL""",
     "monitoring_cycle": """
         SELECT concat_ws('/', drift_type, statistic_name, feature_name) AS name, round(statistic_value, 4) AS value,
                is_drifted AS flag, CAST(NULL AS BIGINT) AS n FROM drift_rows

@@ -27,7 +27,7 @@ def files_of(spark: SparkSession, path: str | list[str]) -> list[str]:
     return sorted(unquote(f) for f in found)
 
 
-def _literal(path: str) -> str:
+def literal_path(path: str) -> str:
     """A path as a pattern that matches only itself."""
     return "".join(f"\\{c}" if c in "{}[]*?\\" else c for c in path)
 
@@ -65,7 +65,7 @@ def headers(spark: SparkSession, files: Iterable[str]) -> dict[str, tuple[str, .
 def _scan(spark: SparkSession, names: tuple[str, ...], files: list[str]) -> DataFrame:
     """All cells as text by position: header names may repeat or differ in case only."""
     schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(names))])
-    return spark.read.schema(schema).option("header", True).csv([_literal(f) for f in files])
+    return spark.read.schema(schema).option("header", True).csv([literal_path(f) for f in files])
 
 
 def read_csv(

@@ -101,8 +101,3 @@ def after_position(rows: DataFrame, key: str, done: DataFrame) -> DataFrame:
     """Rows behind the last published key. Nothing published yet means all rows."""
     last = done.agg(F.max(key)).scalar()
     return rows.where(last.isNull() | (F.col(key) > last))
-
-
-def first_rows(df: DataFrame, limit: int | None, order: list[str]) -> DataFrame:
-    """A bounded window of a log in arrival order; None takes all of it."""
-    return df if limit is None else df.orderBy(*order).limit(limit)

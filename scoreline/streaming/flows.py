@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from scoreline.operators import merge, views
 from scoreline.session import fresh_dir
-from scoreline.sources import tables
+from scoreline.sources import records, tables
 from scoreline.sources.store import Store
 from scoreline.spec import FeatureSpec
 from scoreline.streaming import events
@@ -38,17 +38,21 @@ class Endpoint:
     options: dict[str, str] = field(default_factory=dict)
 
 
-def read_events(spark: SparkSession, source: Endpoint, per_trigger: int | None = None) -> DataFrame:
+def read_events(
+    spark: SparkSession, source: Endpoint, per_trigger: int | None = None, places: bool = False
+) -> DataFrame:
     """(key, value) records as a stream, from the earliest unless the options say otherwise.
 
-    `per_trigger` bounds a micro-batch: files for file sources, records for queues.
+    `per_trigger` bounds a micro-batch: files for file sources, records for queues. `places` adds a
+    queue's partition, offset and timestamp; files have them by records.Topic.
     """
     if source.format == "kafka":
         options = {"startingOffsets": "earliest", **source.options}
         if per_trigger:
             options["maxOffsetsPerTrigger"] = str(per_trigger)
         raw = spark.readStream.format("kafka").options(**options).load()
-        return raw.select(F.col("key").cast("string"), F.col("value").cast("string"))
+        more = records.PLACE if places else ()
+        return raw.select(F.col("key").cast("string"), F.col("value").cast("string"), *more)
     options = dict(source.options)
     if per_trigger:
         options["maxFilesPerTrigger"] = str(per_trigger)
@@ -73,6 +77,62 @@ def _start(
     return writer.outputMode(mode).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def score_batch(
+    batch: DataFrame,
+    batch_id: int,
+    spec: FeatureSpec,
+    scorer: events.Scorer,
+    out: str,
+    *,
+    threshold: float = 0.5,
+    include_ground_truth: bool = True,
+    processed_ts: Column | None = None,
+    prediction_sink: Endpoint | None = None,
+    dead_letter_sink: Endpoint | None = None,
+    dry_run: bool = False,
+) -> None:
+    """Scores one batch of events and writes its tables and messages under its number, once.
+
+    Where the batch knows the place of its records (records.PLACE), the tables keep it.
+    """
+    keep = tuple(c for c in records.PLACE if c in batch.columns)
+    routed = events.route(batch, spec, scorer, threshold=threshold, processed_ts=processed_ts)
+    routed = routed.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if dry_run:
+            routed.write.format("noop").mode("overwrite").save()
+            return
+        scored = events.predictions(routed, spec, include_ground_truth, keep)
+        dead = events.dead_letters(routed, keep=keep)
+        tables = {"predictions": scored, "dead_letters": dead, "counters": events.counters(routed)}
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
+        if prediction_sink:
+            write_keyed(events.encode_predictions(scored.drop(*keep), spec), prediction_sink, batch_id)
+        if dead_letter_sink:
+            body = F.to_json(F.struct("original", "error", "failed_ts"))
+            write_keyed(dead.select("key", body.alias("value")), dead_letter_sink, batch_id)
+    finally:
+        routed.unpersist()
+
+
+def score_records(
+    topic: records.Topic, spec: FeatureSpec, scorer: events.Scorer, out: str, *, max_records: int | None = None, **options
+) -> int:
+    """Scores the next window of a topic, at most max_records of it; returns its number of records.
+
+    Outputs are written under the window's number before its position is committed: a run that ends
+    in between writes the same window over itself. A dry run commits nothing.
+    """
+    window = topic.next(max_records)
+    if window is None:
+        return 0
+    score_batch(window.rows, window.id, spec, scorer, out, **options)
+    if not options.get("dry_run"):
+        topic.commit(window)
+    return window.size
+
+
 def score_stream(
     source: DataFrame,
     spec: FeatureSpec,
@@ -96,25 +156,10 @@ def score_stream(
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        routed = events.route(
-            batch, spec, scorer, threshold=threshold, processed_ts=processed_ts
-        ).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            if dry_run:
-                routed.write.format("noop").mode("overwrite").save()
-                return
-            scored = events.predictions(routed, spec, include_ground_truth)
-            dead = events.dead_letters(routed)
-            tables = {"predictions": scored, "dead_letters": dead, "counters": events.counters(routed)}
-            for name, df in tables.items():
-                df.write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
-            if prediction_sink:
-                write_keyed(events.encode_predictions(scored, spec), prediction_sink, batch_id)
-            if dead_letter_sink:
-                body = F.to_json(F.struct("original", "error", "failed_ts"))
-                write_keyed(dead.select("key", body.alias("value")), dead_letter_sink, batch_id)
-        finally:
-            routed.unpersist()
+        score_batch(
+            batch, batch_id, spec, scorer, out, threshold=threshold, include_ground_truth=include_ground_truth,
+            processed_ts=processed_ts, prediction_sink=prediction_sink, dead_letter_sink=dead_letter_sink, dry_run=dry_run,
+        )
 
     return _start(source, handle, checkpoint, trigger)
 
@@ -137,27 +182,43 @@ def ingest_stream(
     The log is written before the position moves; a repeated batch finds its rows present and
     adds none. Unusable messages go to `quarantine` instead of failing the window.
     """
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in MESSAGE])
-
     def handle(batch: DataFrame, batch_id: int) -> None:
-        arrival = F.monotonically_increasing_id()
-        parsed = batch.select(
-            "value", arrival.alias("arrival"), F.from_json("value", schema).alias("m")
-        ).select("value", "arrival", "m.*")
-        # The other spelling of the segment differs in case only, so it is no column of its own.
-        other = F.get_json_object("value", "$.contract")
-        parsed = parsed.withColumn("Contract", F.coalesce(F.nullif("Contract", F.lit("")), other))
-        typed = merge.message_to_row(parsed).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            bad = typed.where(F.col("row_error").isNotNull()).select("value", "row_error")
-            bad.write.mode("overwrite").parquet(f"{quarantine}/batch_id={batch_id}")
-            store.merge_predictions(merge.log_rows(typed, ["arrival"]), ["arrival"])
-        finally:
-            typed.unpersist()
+        ingest_batch(batch, batch_id, store, quarantine)
 
     return _start(source, handle, checkpoint, trigger)
 
 
+def ingest_batch(batch: DataFrame, batch_id: int, store: Store, quarantine: str) -> int:
+    """Messages of a batch into the log; returns the number of new rows. The last of equal keys is the
+    last by the records' place, where the batch knows it, and else by the order in which it was read."""
+    placed = all(c in batch.columns for c in records.PLACE)
+    arrival = list(records.PLACE) if placed else ["arrival"]
+    if not placed:
+        batch = batch.withColumn("arrival", F.monotonically_increasing_id())
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in MESSAGE])
+    parsed = batch.select("value", *arrival, F.from_json("value", schema).alias("m")).select("value", *arrival, "m.*")
+    # The other spelling of the segment differs in case only, so it is no column of its own.
+    other = F.get_json_object("value", "$.contract")
+    parsed = parsed.withColumn("Contract", F.coalesce(F.nullif("Contract", F.lit("")), other))
+    typed = merge.message_to_row(parsed).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        bad = typed.where(F.col("row_error").isNotNull()).select("value", "row_error")
+        bad.write.mode("overwrite").parquet(f"{quarantine}/batch_id={batch_id}")
+        return store.merge_predictions(merge.log_rows(typed, arrival), arrival)
+    finally:
+        typed.unpersist()
+
+
+def ingest_records(topic: records.Topic, store: Store, quarantine: str, max_records: int | None = None) -> int:
+    """The next window of a topic into the log, at most max_records of it; returns its number of records."""
+    window = topic.next(max_records)
+    if window is None:
+        return 0
+    ingest_batch(window.rows, window.id, store, quarantine)
+    topic.commit(window)
+    return window.size
+
+
 def publish_stream(
     table: DataFrame, key: str, sink: Endpoint, checkpoint: str, trigger: dict | None = None,
     dry_run: bool = False,
