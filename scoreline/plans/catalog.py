@@ -18,6 +18,7 @@ from scoreline.operators import (
     models,
     quality,
     registry,
+    sketches,
     split,
     views,
 )
@@ -394,6 +395,20 @@ def drift_numeric_psi(spark, sf):
     return banded.select("feature", F.round("psi", 6).alias("psi"), "psi_band", "n_reference", "n_current")
 
 
+@query
+def drift_sketched_psi(spark, sf):
+    """PSI from daily sketches, merged by window, beside the exact one: is it within its own error?"""
+    log = B.predictions(spark, sf).withColumn("day", F.to_date("processed_ts"))
+    days = sketches.daily(log, NUMERIC, ["day", "model_version"])
+    cut = F.lit(B.CURRENT_FROM).cast("date")
+    found = sketches.psi(days.where(F.col("day") < cut), days.where(F.col("day") >= cut))
+    exact = drift.numeric_psi(*B.windows(spark, sf), NUMERIC).select("feature", F.col("psi").alias("exact"))
+    near = F.abs(F.col("psi") - F.col("exact")) <= F.col("psi_error")
+    return found.join(exact, "feature").select(
+        "feature", "n_reference", "n_current", F.round("exact", 6).alias("exact_psi"), near.alias("within_error")
+    )
+
+
 @query
 def drift_categorical_psi(spark, sf):
     psi = drift.categorical_psi(*B.windows(spark, sf), ["contract", "model_version"])

