@@ -12,7 +12,7 @@ HASH_DIGITS = 8
 
 def _check(ratios: tuple[float, float, float]) -> None:
     if abs(sum(ratios) - 1.0) >= 1e-9:
-        raise ValueError(f"split ratios must sum to 1.0, got {sum(ratios):.4f}")
+        raise ValueError(f"the shares of the splits add up to {sum(ratios):g} instead of 1")
 
 
 def _hash(key: str, seed: int) -> Column:

@@ -779,3 +779,31 @@ def stream_volume(spark, sf):
     flows.volume_stream(source, "ts", f"{out}/t", f"{out}/_checkpoint", complete=True).awaitTermination()
     hours = spark.read.parquet(f"{out}/t/batch_id=all")
     return hours.select(C.iso_second(F.col("start")).alias("start"), "count")
+
+
+@query
+def stream_volume_closed(spark, sf):
+    """Hours that the watermark has closed, as their state is let go."""
+    out = fresh_dir(spark, "volume")
+    source = B.event_stream(spark, sf).select(F.col("ts").cast("timestamp").alias("ts"))
+    flows.volume_stream(source, "ts", f"{out}/t", f"{out}/_checkpoint").awaitTermination()
+    hours = spark.read.parquet(f"{out}/t")
+    return hours.select(C.iso_second(F.col("start")).alias("start"), "count")
+
+
+@query
+def stream_late_rows(spark, sf):
+    """The events in three portions, one after the other: rows that come after their hour has closed
+    go to a table of their own, and the counts of the closed hours hold all others."""
+    out = fresh_dir(spark, "late")
+    rows = B.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    for portion in range(3):
+        rows.where(F.col("event_id") % 3 == portion).write.mode("append").parquet(f"{out}/source")
+        source = spark.readStream.schema(rows.schema).parquet(f"{out}/source")
+        flows.split_late(source, "ts", f"{out}/split", f"{out}/_split").awaitTermination()
+        on_time = spark.readStream.schema(rows.schema).parquet(f"{out}/split/on_time")
+        flows.volume_stream(on_time, "ts", f"{out}/volume", f"{out}/_volume").awaitTermination()
+    late = spark.read.schema(rows.schema).parquet(f"{out}/split/late")
+    hours = spark.read.parquet(f"{out}/volume").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("hours"))
+    by_portion = late.groupBy(F.concat(F.lit("late "), F.col("event_id") % 3).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    return by_portion.union(hours.select(F.concat(F.lit("closed hours "), "hours"), "n"))

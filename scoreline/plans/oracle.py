@@ -548,6 +548,18 @@ BODIES: dict[str, str] = {
         SELECT {_ISO.format("date_trunc('hour', ts)")} AS start, count(*) AS count FROM events GROUP BY 1""",
 }
 
+BODIES["stream_volume_closed"] = f"""
+        SELECT {_ISO.format("date_trunc('hour', ts)")} AS start, count(*) AS count FROM events GROUP BY date_trunc('hour', ts)
+        HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+BODIES["stream_late_rows"] = """
+        WITH top AS (SELECT max(ts) FILTER (event_id % 3 = 0) AS a, max(ts) FILTER (event_id % 3 < 2) AS b, max(ts) AS c FROM events),
+        split AS (SELECT event_id % 3 AS p, date_trunc('hour', ts) AS h,
+                         date_trunc('hour', ts) + INTERVAL 1 HOUR <= CASE event_id % 3 WHEN 1 THEN a WHEN 2 THEN b END - INTERVAL 1 HOUR AS late
+                  FROM events, top)
+        SELECT 'late ' || p AS part, count(*) AS n FROM split WHERE late GROUP BY p
+        UNION ALL
+        SELECT 'closed hours ' || count(DISTINCT h), count(*) FROM split, top
+        WHERE NOT coalesce(late, FALSE) AND h + INTERVAL 1 HOUR <= c - INTERVAL 1 HOUR"""
 BODIES["performance_rows"] = """
         SELECT metric_name, round(v, 6) AS metric_value, n AS sample_size FROM (
         SELECT n, unnest(['accuracy', 'precision', 'recall', 'f1']) AS metric_name,

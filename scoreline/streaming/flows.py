@@ -11,6 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -271,6 +272,42 @@ def volume(df: DataFrame, at: str, bucket: str = "1 hour", late: str = "1 hour")
     return counted.select(F.col("window.start").alias("start"), "count")
 
 
+def split_late(
+    source: DataFrame, at: str, out: str, checkpoint: str, *, bucket: str = "1 hour", late: str = "1 hour",
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Rows of a stream into `out`/on_time and `out`/late, each into one of them.
+
+    A row is late if its window had closed, by the newest time of the batches before less `late`; so
+    is a row without a time. volume_stream() over on_time drops no row then: its own watermark is
+    never ahead of this one. The newest time of each batch is kept beside the rows, so that a
+    repeated batch is split as before.
+    """
+    spark = source.sparkSession
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        highest = f"{out}/highest"
+        try:
+            before = spark.read.schema("newest timestamp, batch_id bigint").parquet(highest)
+            newest = before.where(F.col("batch_id") < batch_id).agg(F.max("newest")).first()[0]
+        except AnalysisException:
+            newest = None
+        closed = F.col(at).isNull()
+        if newest is not None:
+            mark = F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {late}")
+            closed = closed | (F.window(at, bucket)["end"] <= mark)
+        rows = batch.withColumn("__late", closed).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            for name, test in (("on_time", ~F.col("__late")), ("late", F.col("__late"))):
+                rows.where(test).drop("__late").write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
+            top = rows.agg(F.max(at).cast("timestamp").alias("newest")).coalesce(1)
+            top.write.mode("overwrite").parquet(f"{highest}/batch_id={batch_id}")
+        finally:
+            rows.unpersist()
+
+    return _start(source, handle, checkpoint, trigger)
+
+
 def volume_stream(
     df: DataFrame, at: str, out: str, checkpoint: str, trigger: dict | None = None,
     complete: bool = False,

@@ -227,6 +227,29 @@ def test_closed_windows_appear_and_late_rows_do_not(spark, tmp_path):
     assert got == {"01": 2, "02": 1, "05": 1}
 
 
+def test_every_row_is_counted_or_late(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def run(rows, again=False):
+        if not again:
+            data = [(i, None if h is None else f"2024-01-01 {h:02d}:30:00") for i, h in rows]
+            spark.createDataFrame(data, "id int, t string").select("id", F.col("t").cast("timestamp").alias("ts")).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema("id int, ts timestamp").parquet(folder)
+        flows.split_late(stream, "ts", f"{out}/split", str(tmp_path / ("c2" if again else "c1"))).awaitTermination()
+        on_time = spark.readStream.schema("id int, ts timestamp").parquet(f"{out}/split/on_time")
+        flows.volume_stream(on_time, "ts", f"{out}/volume", str(tmp_path / "v")).awaitTermination()
+
+    run([(1, 1), (2, 1), (3, 2), (4, 5), (5, None)])
+    run([(6, 1), (7, 4), (8, 9)])  # hours up to 3 were closed by 5:30 less an hour
+    run([(10, 7), (11, 3), (12, 14)])
+    late = spark.read.parquet(f"{out}/split/late")
+    assert sorted(r.id for r in late.collect()) == [5, 6, 10, 11]
+    counted = {str(r.start)[11:13]: r["count"] for r in spark.read.parquet(f"{out}/volume").collect()}
+    assert counted == {"01": 2, "02": 1, "04": 1, "05": 1, "09": 1}
+    state = spark.read.format("statestore").load(str(tmp_path / "v"))
+    assert state.count() == 1  # only the open hour is kept
+
+
 def test_file_sources_and_sinks(spark, tmp_path):
     csv = str(tmp_path / "raw.csv")
     header = ",".join(TELCO.raw_columns)
