@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreline.llm.common import column, fold, id_text, row_sample
+from scoreline.llm.common import column, cut, fold, id_text, portions, row_keys
 
 #: Terms of one row name members of one kind of group and may stand for each other.
 IDENTITY_TERMS = (
@@ -25,9 +25,8 @@ IDENTITY_TERMS = (
     ("old", "young"),
 )
 #: The classifier is fitted on at most this many labelled rows, those of smallest hash of id and text,
-#: of equal rows one, with texts of at most so many bytes; scoring reads whole texts.
+#: of equal rows one; training and scoring read whole texts.
 LABELLED = 20_000
-LABELLED_BYTES = 1 << 16
 #: A word is a feature if so many labelled documents hold it and its log odds ratio between the labels
 #: is so many standard deviations from 0; identity terms always are.
 FEWEST, DEVIATIONS = 3, 3.0
@@ -111,21 +110,45 @@ def fit(
     return dict(zip(names.tolist(), weights.tolist())), bias
 
 
+def chosen_keys(keyed: DataFrame, known: DataFrame, n: int) -> DataFrame:
+    """k1, k2 and label of the n smallest row keys among labelled rows. Rows below a bound on their key
+    meet the labels; the bound is raised where that leaves too few."""
+    share = min(1.0, 4 * n / max(1, known.count()))
+    while True:
+        bound = int(share * (1 << 64)) - (1 << 63) - (share == 1)
+        met = keyed.where(F.col("k1") <= F.lit(bound)).join(known, "doc_id")
+        met = cut(met.groupBy("k1", "k2").agg(F.max("label").alias("label")), "labelled")
+        if share == 1 or met.count() >= n:
+            return met.orderBy("k1", "k2").limit(n)
+        share = min(1.0, 8 * share)
+
+
 def labelled_rows(rows: DataFrame, labels: DataFrame, label: str, id_col: str) -> list[tuple[np.ndarray, int]]:
-    """Hashed words and label of at most LABELLED rows."""
+    """Hashed words and label of at most LABELLED rows. Labels meet keys, not texts; texts are read
+    again for the chosen keys, whose table is small by LABELLED, and leave their task as hashes."""
     known = labels.groupBy(labels[id_col].alias("doc_id")).agg(F.max(labels[label]).cast("int").alias("label"))
-    short = rows.where(F.octet_length("text") <= LABELLED_BYTES).select("doc_id", "text")
-    found = row_sample(short.join(known.where("label IS NOT NULL"), "doc_id"), LABELLED, label=F.col("label"))
+    keyed = rows.select("doc_id", "text", *row_keys(F.col("doc_id"), F.col("text")))
+    chosen = chosen_keys(keyed.drop("text"), known.where("doc_id IS NOT NULL AND label IS NOT NULL"), LABELLED)
+    found = keyed.drop("doc_id").join(F.broadcast(chosen), ["k1", "k2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words = [np.array(sorted(hashed(words_of(t))), np.uint32).tobytes() for t in column(b, "text")]
+        seen = set()
+        for b in portions(batches):
+            keys = list(zip(column(b, "k1"), column(b, "k2")))
+            new = [i for i, k in enumerate(keys) if not (k in seen or seen.add(k))]
+            texts, y = b.column(b.schema.get_field_index("text")), column(b, "label")
+            words = [np.array(sorted(hashed(words_of(texts[i].as_py()))), np.uint32).tobytes() for i in new]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.binary()), pa.array(column(b, "label"), pa.int32())], ["w", "y"]
-            )
-
-    out = found.select("text", "label").mapInArrow(run, "w binary, y int").collect()
-    rows_found = sorted((bytes(w), int(y > 0)) for w, y in out)
+                [
+                    pa.array([keys[i][0] for i in new], pa.int64()), pa.array([keys[i][1] for i in new], pa.int32()),
+                    pa.array(words, pa.binary()), pa.array([y[i] for i in new], pa.int32()),
+                ],
+                ["k1", "k2", "w", "y"],
+            )
+
+    out = found.select("k1", "k2", "text", "label").mapInArrow(run, "k1 long, k2 int, w binary, y int")
+    out = out.groupBy("k1", "k2").agg(F.first("w").alias("w"), F.first("y").alias("y")).collect()
+    rows_found = sorted((bytes(r.w), int(r.y > 0)) for r in out)
     return [(np.frombuffer(w, np.uint32), y) for w, y in rows_found]
 
 
@@ -136,7 +159,7 @@ def score(rows: DataFrame, weights: dict[int, float], bias: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = sent.value
-        for b in batches:
+        for b in portions(batches):
             margin = np.array(
                 [bias + sum(weights.get(w, 0.0) for w in hashed(words_of(t))) for t in column(b, "text")]
             )
