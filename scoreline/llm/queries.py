@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scoreline.llm import (
     bpe_codec, decontaminate, language_id, lm, quality_rules, simhash, spelling, suffix_dedup, token_counts,
@@ -64,7 +65,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.warc_round_trip(table(spark, sf_dir, "pages"), segment=PAGE_SEGMENT).drop("problem")
+    found = warc.warc_round_trip(table(spark, sf_dir, "pages"), segment=PAGE_SEGMENT)
+    broken = F.raise_error(F.concat(F.lit("a record can't be read: "), F.col("problem"))).cast("string")
+    digest = F.when(F.col("problem").isNull(), F.col("payload_digest")).otherwise(broken)
+    return found.withColumn("payload_digest", digest).drop("problem")
 
 
 def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,12 +15,13 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreline.llm.common import column, cut, ship
+from scoreline.llm.common import column, cut, portions, ship
 from scoreline.session import fresh_dir
 
 #: Fixed values of the archive format and of HTTP.
@@ -82,19 +83,24 @@ def one_line(text: str | None) -> str:
     return "".join(ch if ch >= " " and ch != "\x7f" else f"%{ord(ch):02X}" for ch in text or "")
 
 
+def named(field: str | None) -> str | None:
+    """An id as it was before it was escaped for its header field; none for a null one."""
+    return None if field is None else unquote(field)
+
+
 def records_of(
     page_id, url: str | None, payload: str, digest: str, ordinal: int, again: bool, first, segment: int = SEGMENT_BYTES
 ) -> Iterator[str]:
     """The record of a page, or its segments. `again`: the page `first` holds an equal payload."""
-    name = "" if page_id is None else str(page_id)
-    common = [("WARC-Target-URI", one_line(url)), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-Id", name)]
+    common = [("WARC-Target-URI", one_line(url)), ("WARC-Payload-Digest", f"sha1:{digest}")]
+    common += [("X-Page-Id", quote(str(page_id), safe=""))] if page_id is not None else []
     http = f"HTTP/1.1 200 OK{LINE}Content-Type: text/html; charset=utf-8{LINE}Transfer-Encoding: chunked{LINE}{LINE}"
     size = len(payload.encode("utf-8", "surrogatepass"))
     own = record_id(page_id, digest, ordinal)
     if again:
         head = [("WARC-Type", "revisit"), ("WARC-Record-ID", own), *common, ("WARC-Profile", PROFILE)]
         head += [("WARC-Refers-To", record_id(first, digest)), ("X-Payload-Length", str(size))]
-        head += [("X-Refers-To-Page", str(first))] if first is not None else []
+        head += [("X-Refers-To-Page", quote(str(first), safe=""))] if first is not None else []
         yield _head([*head, ("Content-Length", "0")])
         return
     block = http + chunked(payload)
@@ -139,8 +145,8 @@ def write_archives(
     kind = rows.schema["page_id"].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            z = [zlib.compress(t.encode("utf-8", "surrogatepass"), 6) for t in column(b, "html")]
+        for b in portions(batches):
+            z = [zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in column(b, "html")]
             yield pa.RecordBatch.from_arrays([*b.columns[:2], b.column(3), pa.array(z, pa.binary())], ["page_id", "url", "sha", "z"])
 
     # written once, so that a row keeps its number
@@ -153,7 +159,7 @@ def write_archives(
     packed = packed.join(first, "sha", "left")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             out: list[str] = []
             names = ("page_id", "url", "sha", "z", "row", "first", "first_row")
             for page, url, sha, z, row, low, low_row in zip(*(column(b, c) for c in names)):
@@ -193,7 +199,8 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the archives under `path`; blocks stay compressed for the shuffle."""
+    """A row for each record of the archives under `path`. Blocks of segments are compressed for the
+    shuffle; whole records, which aren't shuffled, are left as they are."""
     ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
 
@@ -202,19 +209,19 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
             for k in range(b.num_rows):
                 out: list[dict] = []
                 for f, block in parse(zlib.decompress(b.column(0)[k].as_py(), 47)):
-                    number = int(f.get("warc-segment-number", 1))
+                    number, alone = int(f.get("warc-segment-number", 1)), "warc-segment-number" not in f
                     out.append({
                         "origin": f.get("warc-segment-origin-id", f["warc-record-id"]),
                         "number": number,
                         "total": int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None,
-                        "alone": "warc-segment-number" not in f,
+                        "alone": alone,
                         "type": f["warc-type"],
-                        "page": f.get("x-page-id"),
+                        "page": named(f.get("x-page-id")),
                         "digest": f.get("warc-payload-digest", "").removeprefix("sha1:") or None,
-                        "refers": f.get("x-refers-to-page"),
+                        "refers": named(f.get("x-refers-to-page")),
                         "length": int(f["x-payload-length"]) if "x-payload-length" in f else None,
                         "url": f.get("warc-target-uri"),
-                        "z": zlib.compress(block, 6),
+                        "z": block if alone else zlib.compress(block, 1),
                     })
                     if len(out) >= 200:
                         yield pa.RecordBatch.from_pylist(out, schema=arrow)
@@ -238,7 +245,8 @@ def assemble(segments: DataFrame) -> DataFrame:
     as one page. A revisit has the length and digest that it states.
     """
     alone = segments.where("alone").withColumn("parts", F.array("z")).withColumn("numbers", F.array("number"))
-    alone = alone.select("page", "url", "type", "digest", "refers", "length", "total", "numbers", "parts")
+    columns = ["page", "url", "type", "digest", "refers", "length", "total", "numbers", "parts"]
+    alone = alone.select(*columns, F.lit(True).alias("plain"))
     part = F.struct("number", "z")
     first = F.col("number") == 1
     split = segments.where("NOT alone").groupBy("origin").agg(
@@ -248,17 +256,17 @@ def assemble(segments: DataFrame) -> DataFrame:
     )
     split = split.select(
         "page", "url", "type", "digest", "refers", "length", "total",
-        F.col("all.number").alias("numbers"), F.col("all.z").alias("parts"),
+        F.col("all.number").alias("numbers"), F.col("all.z").alias("parts"), F.lit(False).alias("plain"),
     )
 
-    def one(kind: str | None, numbers: list[int], parts: list[bytes], total, stated, digest) -> tuple:
+    def one(kind: str | None, numbers: list[int], parts: list[bytes], total, stated, digest, plain: bool) -> tuple:
         if kind == "revisit":
             return None, stated, digest, None
         if kind != "response":
             return None, None, digest, "no first segment"
         if numbers != list(range(1, len(numbers) + 1)):
             return None, None, digest, "segments are missing or repeated"
-        block = b"".join(zlib.decompress(z) for z in parts)
+        block = b"".join(parts if plain else map(zlib.decompress, parts))
         if len(parts) > 1 and total != len(block):
             return None, None, digest, "total length differs"
         head, _, body = block.partition(b"\r\n\r\n")
@@ -271,7 +279,7 @@ def assemble(segments: DataFrame) -> DataFrame:
         return body, len(body), own, None if digest in (None, own) else "payload digest differs"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("type", "numbers", "parts", "total", "length", "digest")
+        names = ("type", "numbers", "parts", "total", "length", "digest", "plain")
         for b in batches:
             for i in range(0, b.num_rows, 100):
                 s = b.slice(i, 100)
@@ -305,7 +313,7 @@ def warc_round_trip(
     path = path or fresh_dir(pages.sparkSession, "warc")
     write_archives(pages, path, id_col, url_col, html_col, segment=segment)
     kind = pages.schema[id_col].dataType
-    page = F.when(F.col("page") != "", F.col("page")).cast(kind)
+    page = F.col("page").cast(kind)
     return read_archives(pages.sparkSession, path).select(
         page.alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.col("refers").cast(kind).alias("refers_to"), "problem",

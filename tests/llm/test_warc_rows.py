@@ -35,3 +35,13 @@ def test_every_record_has_an_id_of_its_own(spark, tmp_path):
         segments = warc.read_segments(spark, path)
         assert segments.where("number = 1").select("origin").distinct().count() == 9
         assert warc.assemble(segments).where("problem IS NOT NULL").count() == 0
+
+
+def test_ids_of_any_text_come_back(spark):
+    ids = ["a", "", " b ", "x\r\nWARC-Type: warcinfo", "50%", "é:/", None, "\t"]
+    rows = [(i, "u", f"page {n} " * 300) for n, i in enumerate(ids)] + [("twin", "u", "page 3 " * 300)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    found = warc.warc_round_trip(pages, segment=1000).collect()
+    assert all(r.problem is None for r in found)
+    assert Counter(r.page_id for r in found) == Counter([*ids, "twin"])
+    assert {r.page_id: r.refers_to for r in found if r.record_type == "revisit"} == {ids[3]: "twin"}
