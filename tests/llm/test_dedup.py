@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 
 import corpus_pipeline
@@ -122,6 +123,52 @@ def test_edited_copies_go_from_the_pipeline_and_less_similar_texts_stay(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({groups.find(i) for i in range(len(texts))})
 
 
+def near_groups(texts):
+    """Kept ids by brute force: components of 5-word Jaccard of 0.8 or more over all pairs."""
+    sets = []
+    for t in texts:
+        words = (t or "").lower().split()
+        size = min(5, len(words))
+        sets.append({tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if words else set())
+    label = list(range(len(texts)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both * 5 >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root(i), root(j)))
+                label[b] = a
+    return label
+
+
+@pytest.mark.parametrize("small, block", [(64, 256), (3, 5), (1, 4)])
+def test_no_near_copies_stay_in_large_groups(spark, monkeypatch, small, block):
+    monkeypatch.setattr(near_copies, "SMALL", small)
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    draw = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    base = [draw.choice(words) for _ in range(120)]
+    texts = []
+    for _ in range(90):  # a group about the limit of similarity, so that many stay in one bucket
+        text = list(base)
+        for at in draw.sample(range(120), draw.randint(1, 9)):
+            text[at] = draw.choice(words)
+        texts.append(" ".join(text))
+    texts += [" ".join(draw.choices(words, k=60)) for _ in range(20)]
+    rows = documents(spark, texts)
+    kept = sorted(r.doc_id for r in near_copies.first_of_near_copies(rows).collect())
+    label = near_groups(texts)
+    alone = [i for i in range(len(texts)) if label[i] == i]
+    assert set(alone) <= set(kept)  # the first of each component stays
+    again = near_groups([texts[i] for i in kept])
+    assert again == list(range(len(kept)))  # and no two that stay are similar
+
+
 def test_near_copies_awkward_rows(spark):
     kept = near_copies.first_of_near_copies(awkward(spark)).collect()
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 4, 5, 7, 7, 8, 9] and len(kept) == 8

@@ -3,8 +3,9 @@ from __future__ import annotations
 import hashlib
 
 import corpus_pipeline
-from scoreline.llm import bpe_codec, decontaminate, quality_rules, simhash, suffix_dedup
+from scoreline.llm import bpe_codec, decontaminate, quality_rules, suffix_dedup
 from scoreline.llm.queries import vocabulary_path
+from tests.llm.test_dedup import near_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,8 +15,12 @@ def test_run_is_the_stages_in_turn(spark):
     labels, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("labels", "benchmark"))
     verdict = quality_rules.quality_rules(docs, labels).where("kept").select("doc_id")
     good = docs.join(verdict, "doc_id", "left_semi").select(docs.columns).cache()
-    groups = simhash.simhash_components(good).where("doc_id = component_id").select("doc_id")
-    alone = good.join(groups, "doc_id", "left_semi").select(docs.columns).cache()
+    texts = sorted((r.doc_id, r.text) for r in good.select("doc_id", "text").collect())
+    label = near_groups([t for _, t in texts])  # all pairs, ids in order: the first of a group stays
+    first = [(i,) for k, (i, _) in enumerate(texts) if label[k] == k]
+    alone = good.join(spark.createDataFrame(first, "doc_id long"), "doc_id", "left_semi").select(docs.columns).cache()
+    near = corpus_pipeline.near_duplicates(spark, good, SF)
+    assert sorted(r.doc_id for r in near.collect()) == [i for i, in first]
     digests = {r.doc_id: r.kept_sha256 for r in suffix_dedup.suffix_digests(alone).collect()}
     cut = corpus_pipeline.repeated_passages(spark, alone, SF).cache()
     assert cut.columns == docs.columns
