@@ -71,7 +71,8 @@ def run_cycle(
 
     The heavy work is one Spark job per statistic family over the windows; what comes to the
     driver are metric rows, a few per monitored column. `segments` (customer_id, contract, in order
-    of `arrival`) fills null segments of the stored log.
+    of `arrival`) fills null segments of the stored log at the end; a window that is read from the log
+    has to be read anew after that.
 
     A step that fails is named in the notes and makes the cycle `partial`; the others go on. All
     tables of the cycle are published by one manifest row at its end, so a reader sees all of it or
@@ -131,11 +132,6 @@ def run_cycle(
                 buckets=config.buckets,
             ).collect(),
         )
-        if segments is not None and not dry_run:
-            order = ["arrival"] if "arrival" in segments.columns else []
-            filled = attempt("backfill", True, "", lambda: [store.backfill_predictions(segments, order)])
-            if filled:
-                notes["backfill"] = f"{filled[0]} rows"
         measured = attempt(
             "performance",
             n > 0,
@@ -181,6 +177,12 @@ def run_cycle(
         for step, rows in (("prediction_drift", predicted), ("data_drift", observed)):
             if not rows:
                 notes.setdefault(step, f"skipped: fewer than {config.min_sample} records")
+        # Last, since it rewrites days of the log that the window may be read from.
+        if segments is not None and not dry_run:
+            order = ["arrival"] if "arrival" in segments.columns else []
+            filled = attempt("backfill", True, "", lambda: [store.backfill_predictions(segments, order)])
+            if filled:
+                notes["backfill"] = f"{filled[0]} rows"
         drifted = known["drifted"] = any(
             r["is_drifted"]
             for r in predicted + observed
