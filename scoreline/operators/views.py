@@ -115,6 +115,16 @@ def batch_summary(df: DataFrame, dead_letters: DataFrame | None = None) -> DataF
     if dead_letters is not None:
         none = [F.lit(None).cast(t).alias(c) for c, t in (("prediction", "string"), ("churn_probability", "double"))]
         ok = ok.unionByName(dead_letters.select(F.lit(False).alias("ok"), *none))
+    return _summary(ok)
+
+
+def routed_summary(routed: DataFrame) -> DataFrame:
+    """batch_summary() of routed events in one pass, before they are parted."""
+    score = round_half_even(F.col("probability"), 4).alias("churn_probability")
+    return _summary(routed.select(F.col("error").isNull().alias("ok"), "prediction", score))
+
+
+def _summary(ok: DataFrame) -> DataFrame:
     n = count_where(F.col("ok"))
     yes = count_where(F.col("prediction") == "Yes")
     return ok.agg(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scoreline.functions import columns as C
@@ -25,7 +25,7 @@ from scoreline.operators import (
 from scoreline.plans import bindings as B
 from scoreline.plans import cycle
 from scoreline.session import fresh_dir
-from scoreline.sources import records, tables
+from scoreline.sources import records, sinks, tables
 from scoreline.sources.store import Store
 from scoreline.streaming import events, flows
 
@@ -510,9 +510,7 @@ def latest_run(spark, sf):
 
 @query
 def batch_summary(spark, sf):
-    routed = _routed(spark, sf)
-    scored = events.predictions(routed, B.CUSTOMERS)
-    return views.batch_summary(scored, events.dead_letters(routed))
+    return views.routed_summary(_routed(spark, sf))
 
 
 @query
@@ -739,6 +737,60 @@ def consume_records(spark, sf):
     )
 
 
+@query
+def stream_observed(spark, sf):
+    """Counters of the scored stream, observed while its batches were written."""
+    counted = _scored_stream(spark, sf)["counters"]
+    return counted.agg(*[F.sum(c).alias(c) for c in ("consumed", "predicted", "dead_lettered")])
+
+
+@query
+def stream_distinct(spark, sf):
+    """Of a user's events of one type that follow each other within six hours, the first by position."""
+    out = fresh_dir(spark, "distinct")
+    source = B.event_stream(spark, sf).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    flows.distinct_stream(
+        source, ["user_id", "event_type"], "ts", "6 hours", f"{out}/t", f"{out}/_checkpoint", place=["event_id"]
+    ).awaitTermination()
+    return spark.read.schema(source.schema).parquet(f"{out}/t").select("event_id", "user_id", "event_type")
+
+
+@query
+def ordered_topic(spark, sf):
+    """Events by user as topic files of equal size; how many of a user's come before an earlier one."""
+    out = fresh_dir(spark, "ordered")
+    rows = B.table(spark, sf, "events").select("event_id", "user_id").repartition(8, "event_id")
+    sinks.write_ordered(rows, "user_id", ["event_id"], F.col("event_id").cast("string"), f"{out}/topic", 8)
+    read = records.Topic(spark, f"{out}/topic", f"{out}/position").next().rows
+    read = read.select("key", "partition", "offset", F.col("value").cast("bigint").alias("event_id"))
+    earlier = F.lag("event_id").over(Window.partitionBy("partition", "key").orderBy("offset")) > F.col("event_id")
+    files = read.withColumn("wrong", earlier).groupBy("key", "partition").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("wrong").alias("wrong"),
+        F.min("event_id").alias("low"), F.max("event_id").alias("high"),
+    )
+    # A user's files are few: their rows are a file and key each.
+    across = F.lag("high").over(Window.partitionBy("key").orderBy("partition")) > F.col("low")
+    return files.withColumn("across", across).groupBy("key").agg(
+        F.sum("n").alias("n"), (F.sum("wrong") + F.count_if("across")).alias("n_out_of_order")
+    )
+
+
+@query
+def external_scores(spark, sf):
+    """Events scored by a numpy model that each worker loads once, with its lineage."""
+
+    def load():
+        import numpy as np
+
+        weights = np.array([0.03, -0.02])
+        return lambda cells: 1.0 / (1.0 + np.exp(-(np.nan_to_num(cells) @ weights)))
+
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    rows = B.table(spark, sf, "events").select("event_id", "value", F.when(k % 7 != 0, k).alias("k"))
+    scored = models.external_scorer(load, ("value", "k"), "numpy", "1")(rows)
+    return scored.select("event_id", F.round("probability", 6).alias("probability"), "model_source", "model_version")
+
+
 @query
 def stream_dead_letters(spark, sf):
     run = _scored_stream(spark, sf)

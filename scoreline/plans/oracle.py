@@ -551,6 +551,21 @@ BODIES: dict[str, str] = {
 BODIES["stream_volume_closed"] = f"""
         SELECT {_ISO.format("date_trunc('hour', ts)")} AS start, count(*) AS count FROM events GROUP BY date_trunc('hour', ts)
         HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+BODIES["stream_observed"] = """
+        SELECT count(*) AS consumed, count(*) FILTER (error IS NULL) AS predicted, count(*) FILTER (error IS NOT NULL) AS dead_lettered
+        FROM routed"""
+BODIES["stream_distinct"] = """
+        SELECT min(event_id) AS event_id, user_id, event_type FROM (
+            SELECT *, sum(fresh) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM (
+                SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) <= INTERVAL 6 HOUR
+                               THEN 0 ELSE 1 END AS fresh FROM events))
+        GROUP BY user_id, event_type, run HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events)"""
+BODIES["ordered_topic"] = """
+        SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS n, CAST(0 AS BIGINT) AS n_out_of_order FROM events GROUP BY user_id"""
+BODIES["external_scores"] = """
+        SELECT event_id, round(1 / (1 + exp(-(0.03 * value - 0.02 * CASE WHEN k % 7 <> 0 THEN k ELSE 0 END))), 6) AS probability,
+               'numpy' AS model_source, '1' AS model_version
+        FROM (SELECT *, CAST(props ->> '$.k' AS BIGINT) AS k FROM events)"""
 BODIES["stream_late_rows"] = """
         WITH top AS (SELECT max(ts) FILTER (event_id % 3 = 0) AS a, max(ts) FILTER (event_id % 3 < 2) AS b, max(ts) AS c FROM events),
         split AS (SELECT event_id % 3 AS p, date_trunc('hour', ts) AS h,

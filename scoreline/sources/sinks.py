@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreline.spec import FeatureSpec
@@ -21,6 +22,22 @@ def write_events(keyed: DataFrame, path: str, mode: str = "append") -> None:
     keyed.write.mode(mode).json(path)
 
 
+def ordered_by_key(df: DataFrame, key: str, position: Sequence[str], partitions: int) -> DataFrame:
+    """Rows so that those of a key follow each other by position, over adjacent partitions if many.
+
+    Partitions are ranges of (hash of the key, position), so a frequent key fills several of about
+    equal size, and no other arrangement of the input changes the order of a key's records.
+    """
+    order = [F.xxhash64(key), F.col(key), *[F.col(c) for c in position]]
+    return df.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+
+
+def write_ordered(df: DataFrame, key: str, position: Sequence[str], value: Column, path: str, partitions: int) -> None:
+    """Keyed JSON lines; read file by file in order of name, a key's records come by position."""
+    rows = ordered_by_key(df, key, position, partitions)
+    rows.select(F.col(key).cast("string").alias("key"), value.alias("value")).write.mode("overwrite").json(path)
+
+
 def write_predictions_csv(scored: DataFrame, path: str, spec: FeatureSpec) -> None:
     columns = [c for c in (spec.id, "prediction", "label", "churn_probability") if c in scored.columns]
     scored.select(*columns).write.mode("overwrite").option("header", True).csv(path)

@@ -26,6 +26,9 @@ MISSING = "ValidationError: missing required fields: "
 OUT_OF_RANGE = "ValueError: probability out of range"
 UNKNOWN_KEY = "unknown"
 
+#: Columns that a scorer may add about itself; messages carry them.
+LINEAGE = ("model_source", "model_version")
+
 _END = "__scoreline_end"
 _JSON_SPACE = " \t\r\n"
 
@@ -159,6 +162,7 @@ def predictions(
     """The accepted rows as prediction messages (probability rounded, label from the full value)."""
     actual = F.col("actual") if include_ground_truth else F.lit(None).cast("string")
     segment = [F.col(spec.segment)] if spec.segment else []
+    lineage = [c for c in LINEAGE if c in routed.columns]
     return routed.where(F.col("error").isNull()).select(
         *keep,
         F.col("event_key").alias(spec.id),
@@ -168,6 +172,7 @@ def predictions(
         C.iso_second(F.col("processed_ts")).alias("processed_ts"),
         actual.alias("actual_churn"),
         *segment,
+        *lineage,
     )
 
 
@@ -191,10 +196,15 @@ def dead_letters(routed: DataFrame, value: str = "value", keep: tuple[str, ...]
     )
 
 
-def counters(routed: DataFrame, groups: tuple[str, ...] = ()) -> DataFrame:
-    """consumed, predicted and dead_lettered."""
-    return routed.groupBy(*groups).agg(
+def counts() -> list[Column]:
+    """consumed, predicted and dead_lettered of routed rows."""
+    return [
         F.count(F.lit(1)).alias("consumed"),
         F.count_if(F.col("error").isNull()).alias("predicted"),
         F.count_if(F.col("error").isNotNull()).alias("dead_lettered"),
-    )
+    ]
+
+
+def counters(routed: DataFrame, groups: tuple[str, ...] = ()) -> DataFrame:
+    """consumed, predicted and dead_lettered."""
+    return routed.groupBy(*groups).agg(*counts())

@@ -7,12 +7,12 @@ Message-queue sinks have no overwrite; there a repeated batch may publish a reco
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -26,6 +26,8 @@ from scoreline.streaming import events
 
 KEYED = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])
 
+COUNTERS = "consumed bigint, predicted bigint, dead_lettered bigint"
+
 #: What Spark tells of a file.
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -97,17 +99,20 @@ def score_batch(
     Where the batch knows the place of its records (records.PLACE), the tables keep it.
     """
     keep = tuple(c for c in records.PLACE if c in batch.columns)
+    seen = Observation()
     routed = events.route(batch, spec, scorer, threshold=threshold, processed_ts=processed_ts)
-    routed = routed.persist(StorageLevel.MEMORY_AND_DISK)
+    # Counted as the rows are made, by whichever write comes first; no job of their own.
+    routed = routed.observe(seen, *events.counts()).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if dry_run:
             routed.write.format("noop").mode("overwrite").save()
             return
         scored = events.predictions(routed, spec, include_ground_truth, keep)
         dead = events.dead_letters(routed, keep=keep)
-        tables = {"predictions": scored, "dead_letters": dead, "counters": events.counters(routed)}
-        for name, df in tables.items():
+        for name, df in (("predictions", scored), ("dead_letters", dead)):
             df.write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
+        counted = batch.sparkSession.createDataFrame([seen.get], COUNTERS).coalesce(1)
+        counted.write.mode("overwrite").parquet(f"{out}/counters/batch_id={batch_id}")
         if prediction_sink:
             write_keyed(events.encode_predictions(scored.drop(*keep), spec), prediction_sink, batch_id)
         if dead_letter_sink:
@@ -266,6 +271,41 @@ def publish_csv(
     return _start(names, handle, checkpoint, trigger)
 
 
+def distinct_within(
+    df: DataFrame, key: Sequence[str], at: str, horizon: str, late: str = "0 seconds", place: Sequence[str] = ()
+) -> DataFrame:
+    """Rows of a stream without the repeats of a key within a horizon of event time.
+
+    Without `place` a row comes out at once if its key was not seen within the horizon, and which of
+    the equal keys of one micro-batch survives is not defined. With `place` (the columns of a
+    record's position) repeats that follow each other within the horizon are one group, whose row
+    of the smallest place comes out when the watermark has passed the group by the horizon: the
+    survivors depend neither on partitions nor on micro-batches. Rows without a time are dropped, and
+    so are rows later than `late`; split_late() sets both aside first. A state entry goes when
+    the watermark has passed it; keep the state in RocksDB (the session's
+    spark.sql.streaming.stateStore.providerClass) where a horizon holds many keys.
+    """
+    if not place:
+        marked = df.where(F.col(at).isNotNull()).withWatermark(at, horizon)
+        return marked.dropDuplicatesWithinWatermark(list(key))
+    marked = df.where(F.col(at).isNotNull()).withWatermark(at, late)
+    row = F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.struct(*[F.col(c) for c in place]))
+    grouped = marked.groupBy(*[F.col(c).alias(f"__{c}") for c in key], F.session_window(at, horizon))
+    return grouped.agg(row.alias("row")).select("row.*")
+
+
+def distinct_stream(
+    source: DataFrame, key: Sequence[str], at: str, horizon: str, out: str, checkpoint: str, *,
+    late: str = "0 seconds", place: Sequence[str] = (), trigger: dict | None = None,
+) -> StreamingQuery:
+    """Writes the rows of distinct_within(), each micro-batch under its number."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    return _start(distinct_within(source, key, at, horizon, late, place), handle, checkpoint, trigger)
+
+
 def volume(df: DataFrame, at: str, bucket: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Rows per tumbling window of a stream; rows later than `late` no longer count."""
     counted = df.withWatermark(at, late).groupBy(F.window(at, bucket)).agg(F.count(F.lit(1)).alias("count"))
@@ -322,25 +362,40 @@ def volume_stream(
 
 
 class Progress(StreamingQueryListener):
-    """Keeps rows, rate and batch number of every finished micro-batch (newest `keep`)."""
+    """Appends a row for every finished micro-batch to a table of JSON files at `path`.
+
+    At most `every` rows wait in the driver; what waits is written when a stream ends.
+    """
+
+    SCHEMA = "run_id string, name string, batch_id bigint, at string, rows bigint, rate double"
 
-    def __init__(self, keep: int = 1000):
-        self.keep = keep
-        self.batches: list[dict] = []
+    def __init__(self, spark: SparkSession, path: str, every: int = 100):
+        self.spark, self.path, self.every = spark, path, every
+        self._waiting: list[tuple] = []
+
+    def _write(self) -> None:
+        rows, self._waiting = self._waiting, []
+        if rows:
+            self.spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.mode("append").json(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).json(self.path)
 
     def onQueryStarted(self, event):
         pass
 
     def onQueryProgress(self, event):
         p = event.progress
-        self.batches.append({"batch_id": p.batchId, "rows": p.numInputRows, "rate": p.processedRowsPerSecond})
-        del self.batches[: -self.keep]
+        row = (str(p.runId), p.name, p.batchId, p.timestamp, p.numInputRows, float(p.processedRowsPerSecond))
+        self._waiting.append(row)
+        if len(self._waiting) >= self.every:
+            self._write()
 
     def onQueryIdle(self, event):
         pass
 
     def onQueryTerminated(self, event):
-        pass
+        self._write()
 
 
 def run_score_table(

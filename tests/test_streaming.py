@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from scoreline import TELCO
+from scoreline.operators import models
 from scoreline.sources import sinks, tables
 from scoreline.sources.store import Store
 from scoreline.streaming import events, flows
@@ -154,19 +156,103 @@ def test_a_repeated_batch_overwrites_itself(spark, tmp_path):
 def test_progress_is_kept(spark, tmp_path):
     import time
 
-    topic, listener = str(tmp_path / "topic"), flows.Progress(keep=1)
-    for i in range(2):
+    topic, table = str(tmp_path / "topic"), str(tmp_path / "progress")
+    listener = flows.Progress(spark, table, every=2)
+    for i in range(3):
         write_topic(spark, topic, [event(i), event(i + 10)])
     spark.streams.addListener(listener)
     try:
-        flows.score_stream(source(spark, topic), TELCO, fixed(0.7), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
-        for _ in range(50):
-            if listener.batches:
-                break
+        stream = spark.readStream.schema(flows.KEYED).option("maxFilesPerTrigger", 1).json(topic)
+        flows.score_stream(stream, TELCO, fixed(0.7), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+        for _ in range(100):
             time.sleep(0.2)
+            if os.path.exists(table) and listener.read().agg(F.sum("rows")).first()[0] == 6:
+                break
     finally:
         spark.streams.removeListener(listener)
-    assert len(listener.batches) == 1 and listener.batches[0]["rows"] in (0, 2)
+    kept = listener.read().where("rows > 0").orderBy("batch_id").collect()
+    assert [(r.batch_id, r.rows) for r in kept][0] == (0, 2) and sum(r.rows for r in kept) == 6
+    counted = flows.read_output(spark, str(tmp_path / "out"), "counters").agg(F.sum("consumed"), F.sum("predicted")).first()
+    assert tuple(counted) == (6, 6)
+
+
+def test_counters_need_no_job_of_their_own(spark, tmp_path):
+    scans = spark.sparkContext.accumulator(0)
+
+    def scorer(df):
+        def one(rows):
+            for frame in rows:
+                scans.add(len(frame))
+                yield frame.assign(probability=0.7)
+
+        return df.mapInPandas(one, f"{df.schema.simpleString()[7:-1]}, probability double".replace(",", ", "))
+
+    rows = keyed(spark, [event(1), event(2), "junk"])
+    flows.score_batch(rows, 0, TELCO, scorer, str(tmp_path / "out"))
+    assert tuple(flows.read_output(spark, str(tmp_path / "out"), "counters").first())[:3] == (3, 2, 1)
+    assert scans.value == 3
+    flows.score_batch(rows.limit(0), 1, TELCO, scorer, str(tmp_path / "none"))
+    assert tuple(flows.read_output(spark, str(tmp_path / "none"), "counters").first())[:3] == (0, 0, 0)
+
+
+REPEATS = [("a", 0), ("a", 30), ("b", 10), ("a", 55), ("a", 300), ("b", 400), ("c", 900), ("a", 330), (None, 20), (None, 21)]
+
+
+@pytest.mark.parametrize("files", [1, 4])
+@pytest.mark.parametrize("ordered", [False, True])
+def test_repeats_within_a_horizon(spark, tmp_path, files, ordered):
+    rows = spark.createDataFrame([(k, i, m) for i, (k, m) in enumerate(REPEATS)] + [("x", 99, None)], "k string, place long, minute long")
+    rows = rows.withColumn("at", (F.lit("2024-01-01").cast("timestamp").cast("long") + F.col("minute") * 60).cast("timestamp"))
+    for part in range(files):
+        rows.where(F.col("place") % files == files - 1 - part).repartition(1 + part).write.mode("append").parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "t"))
+        flows.distinct_stream(stream, ["k"], "at", "1 hour", str(tmp_path / "out"), str(tmp_path / "c"), place=["place"] if ordered else ()).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    got = spark.read.parquet(str(tmp_path / "out")).select("k", "place").collect()
+    if ordered:  # a group that the watermark has not passed stays open
+        assert sorted((r.k or "", r.place) for r in got) == [("", 8), ("a", 0), ("a", 4), ("b", 2), ("b", 5)]
+    else:
+        keys = [r.k for r in got]
+        assert set(keys) == {"a", "b", "c", None} and keys.count(None) == 1 and keys.count("c") == 1
+
+
+def test_order_by_key_splits_a_frequent_key(spark, tmp_path):
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 700)).alias("key"), F.col("id").alias("place"))
+    orders = []
+    for attempt, parts in (("a", 3), ("b", 7)):
+        path = str(tmp_path / attempt)
+        sinks.write_ordered(rows.repartition(parts, "place"), "key", ["place"], F.col("place").cast("string"), path, 8)
+        files = sorted(f for f in os.listdir(path) if f.startswith("part"))
+        lines = [[json.loads(line) for line in open(f"{path}/{f}")] for f in files]
+        assert len(files) == 8 and max(map(len, lines)) < 2 * 6000 / 8
+        orders.append([(r["key"], int(r["value"])) for f in lines for r in f])
+    assert orders[0] == orders[1]
+    seen = {}
+    for key, place in orders[0]:
+        assert seen.get(key, -1) < place
+        seen[key] = place
+
+
+def test_a_model_of_another_library(spark, tmp_path):
+    def load():
+        import numpy as np
+
+        return lambda cells: np.where(np.isnan(cells[:, 0]), 0.25, cells[:, 0] / 100)
+
+    scorer = models.external_scorer(load, ("tenure", "MonthlyCharges"), "numpy", "7")
+    out = str(tmp_path / "out")
+    flows.score_batch(keyed(spark, [event(10), event(80), "junk"]), 0, TELCO, scorer, out)
+    got = flows.read_output(spark, out, "predictions").orderBy("customerID").collect()
+    assert [(r.churn_probability, r.prediction, r.model_source, r.model_version) for r in got] == [(0.1, "No", "numpy", "7"), (0.8, "Yes", "numpy", "7")]
+    message = events.encode_predictions(flows.read_output(spark, out, "predictions").drop("batch_id"), TELCO).first()
+    assert json.loads(message.value)["model_version"] == "7"
+    missing = scorer(spark.createDataFrame([(None, 1.0)], "tenure double, MonthlyCharges double")).first()
+    assert missing.probability == 0.25
+    assert scorer(spark.createDataFrame([], "tenure double, MonthlyCharges double")).count() == 0
 
 
 def test_dry_run_writes_nothing(spark, tmp_path):
