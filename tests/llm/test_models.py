@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from scoreline.llm import lm, quality_rules, toxicity, weak_labels
 from scoreline.llm.boosting import fit_trees
@@ -164,8 +165,34 @@ def test_lm_awkward_rows(spark):
     assert lm.lm_scores(nothing(spark)).count() == 0
 
 
+def test_lm_score_is_the_models_log_probability(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FREQUENT", 50)
+    texts = [(i, f"the cat {i % 7} sat on Mat{i % 3} and the {'dog' if i % 2 else 'кот'} ran\n") for i in range(60)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    train = rows.where("doc_id % 5 <> 0")
+    model, counts = lm.fit(train)
+    c = {bytes(r.token): r.c for r in counts.collect()}
+    found = {r.doc_id: r for r in lm.score(rows.withColumn("held_out", rows.doc_id % 5 == 0), model, counts).collect()}
+    for i, text in texts:
+        tokens = text.encode().lower().split() + [lm.END]
+        classes = lm.classes_of(*lm.joined(tokens), model.pairs)
+        p = lm.Slice(next(lm.units([text])), model.pairs).probabilities(model.weights)
+        want = 0.0
+        for at, (t, k) in enumerate(zip(tokens, classes)):
+            inside = (c.get(t, 0) + 0.5) / (model.class_tokens[k] + 0.5 * (model.class_types[k] + 1))
+            want += math.log10(p[at, k]) + math.log10(inside)
+        assert abs(found[i].score - want) < 1e-3 and found[i].n_known == sum(t in c for t in tokens)
+
+
+@pytest.mark.parametrize("text", ["", " ", "Ab c", "a\n\n b\x0b", "é x" * 200_000, "  lead", "x" * 1_200_000])
+def test_letter_pairs_of_a_text_are_those_of_its_words(text):
+    words = text.encode().lower().split()
+    want = np.bincount(lm.letter_pairs(lm.joined(words)[0]), minlength=lm.PAIRS) if words else np.zeros(lm.PAIRS)
+    assert (lm.pair_counts(text) == want).all()
+
+
 def test_class_softmax_is_a_distribution():
-    pairs = lm._cluster(np.random.default_rng(0).random((50, lm.PAIRS)))
+    pairs = np.log(np.random.default_rng(0).dirichlet(np.ones(lm.PAIRS), lm.CLASSES)).T
     group = next(lm.units(["a bc def a", "x"]))
     weights = np.random.default_rng(1).standard_normal((lm.BUCKETS, lm.CLASSES + 1)).astype(np.float32)
     assert np.allclose(lm.Slice(group, pairs).probabilities(weights).sum(1), 1, atol=1e-5)

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from scoreline.llm import toxicity, weak_labels
+from scoreline.llm import lm, toxicity, weak_labels
 from scoreline.llm.common import id_text
 
 
@@ -15,6 +15,16 @@ def test_null_ids_and_repeated_rows_do_not_fill_the_scorers_sample(spark, monkey
     assert 40 < sizes[0] <= 50
 
 
+def test_null_ids_and_repeated_rows_do_not_fill_the_sample_of_the_classes(spark, monkeypatch):
+    sizes = []
+    centres = lm._centres
+    monkeypatch.setattr(lm, "CLUSTER_SAMPLE", 40)
+    monkeypatch.setattr(lm, "_centres", lambda x: sizes.append(len(x)) or centres(x))
+    rows = [(None, f"text without an id {i}") for i in range(300)] + [(1, "the same row")] * 300
+    pairs = lm.letter_classes(id_text(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sizes == [40] and pairs.shape == (lm.PAIRS, lm.CLASSES)
+
+
 def test_a_repeated_labelled_id_does_not_lift_the_bound(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "LABELLED", 40)
     rows = [(1, f"text {i}") for i in range(300)] + [(2, "equal")] * 300 + [(i, f"other {i}") for i in range(3, 100)]
