@@ -7,6 +7,8 @@ import re
 import tempfile
 import zipfile
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -48,15 +50,39 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **mor
     )
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+#: Folders of the tables cut within each open `passing`, the innermost last.
+_passing: ContextVar[tuple[list[str], ...]] = ContextVar("passing", default=())
+
+
+def cut(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """Writes a table to the shared folder and reads it again: later stages start from the files,
-    so a lost executor costs no more than the stage at hand."""
+    so a lost executor costs no more than the stage at hand. Within `passing` the table goes at its
+    end, or with `stays` at the end of the one around it, if there is one."""
     spark = df.sparkSession
     path = fresh_dir(spark, name)
+    owners = _passing.get()[: -1 if stays else None]
+    if owners:
+        owners[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables cut within, also after an error. Nothing that is read later may need them:
+    what the block returns is written with `stays`."""
+    paths: list[str] = []
+    token = _passing.set((*_passing.get(), paths))
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(hadoop).delete(folder, True)
+
+
 def row_keys(id_column: Column, text: Column) -> list[Column]:
     """Rows of equal keys have the same id and text."""
     return [F.xxhash64(id_column, text).alias("k1"), F.hash(text, id_column).alias("k2")]

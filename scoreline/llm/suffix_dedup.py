@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreline.llm.common import SLICE_BYTES, batches_of, column, cut, id_text, portions, ship
+from scoreline.llm.common import SLICE_BYTES, batches_of, column, cut, id_text, passing, portions, ship
 
 LENGTH = 200
 GRAM = 32
@@ -330,6 +330,11 @@ def _contexts(packed: DataFrame, mixed: DataFrame) -> DataFrame:
 
 def repeats(packed: DataFrame, rows: DataFrame) -> DataFrame:
     """k1, k2 and spans, the byte ranges [s, e) of every row that repeated windows cover."""
+    with passing(packed.sparkSession):
+        return cut(_spans(packed, rows), "spans", stays=True)
+
+
+def _spans(packed: DataFrame, rows: DataFrame) -> DataFrame:
     spark = packed.sparkSession
     found = anchors(rows)
     counts = found.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("least"), F.max("c").alias("most"))
@@ -351,8 +356,7 @@ def repeats(packed: DataFrame, rows: DataFrame) -> DataFrame:
     whole = again.where("same").select(
         "k1", "k2", F.expr("(p >> 16) - ((p >> 8) & 255)").alias("s"), F.expr(f"(p >> 16) - (p & 255) + {LENGTH}").alias("e")
     )
-    spans = whole.union(some).groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    return cut(spans, "spans")
+    return whole.union(some).groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
 def _united(spans: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:

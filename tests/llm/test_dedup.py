@@ -3,13 +3,14 @@ from __future__ import annotations
 import hashlib
 import random
 from collections import Counter
+from itertools import count
 
 import numpy as np
 import pytest
 import xxhash
 
 import corpus_pipeline
-from scoreline.llm import near_copies, simhash, suffix_dedup
+from scoreline.llm import common, near_copies, simhash, suffix_dedup
 from scoreline.llm.components import connected_components
 from tests.llm.fixtures import awkward, documents, nothing
 
@@ -169,6 +170,19 @@ def test_no_near_copies_stay_in_large_groups(spark, monkeypatch, small, block):
     assert again == list(range(len(kept)))  # and no two that stay are similar
 
 
+def test_tables_between_steps_go(spark, tmp_path, monkeypatch):
+    made = count()
+    monkeypatch.setattr(common, "fresh_dir", lambda spark, name: f"{tmp_path}/{name}-{next(made)}")
+    rows = spark.createDataFrame([(i, f"{i % 3} b c d e f {i % 3} h i {i % 3}") for i in range(9)], "doc_id long, text string")
+    assert near_copies.first_of_near_copies(rows).count() == 3
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["kept"]
+    with pytest.raises(ZeroDivisionError), common.passing(spark):
+        common.cut(rows, "first")
+        common.cut(rows, "second", stays=True)
+        raise ZeroDivisionError
+    assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == ["kept", "second"]
+
+
 def test_near_copies_awkward_rows(spark):
     kept = near_copies.first_of_near_copies(awkward(spark)).collect()
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 4, 5, 7, 7, 8, 9] and len(kept) == 8
