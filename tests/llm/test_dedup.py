@@ -170,6 +170,25 @@ def test_no_near_copies_stay_in_large_groups(spark, monkeypatch, small, block):
     assert again == list(range(len(kept)))  # and no two that stay are similar
 
 
+@pytest.mark.parametrize("seed", [3, 5, 7])
+def test_groups_about_the_limit_keep_the_first_of_each_component(spark, seed):
+    """Variants of one text, many of them similar to others only through a chain: what stays is
+    the first of each component of all similar pairs, as brute force finds them, not what the order
+    of the bucket leaders leaves."""
+    draw = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    base = [draw.choice(words) for _ in range(120)]
+    texts = []
+    for _ in range(60):
+        text = list(base)
+        for at in draw.sample(range(120), draw.randint(1, 12)):
+            text[at] = draw.choice(words)
+        texts.append(" ".join(text))
+    kept = sorted(r.doc_id for r in near_copies.first_of_near_copies(documents(spark, texts)).collect())
+    label = near_groups(texts)
+    assert kept == [i for i in range(len(texts)) if label[i] == i]
+
+
 def test_tables_between_steps_go(spark, tmp_path, monkeypatch):
     made = count()
     monkeypatch.setattr(common, "fresh_dir", lambda spark, name: f"{tmp_path}/{name}-{next(made)}")
