@@ -715,13 +715,24 @@ def stream_route_events(spark, sf):
     )
 
 
+#: Records of a topic file, about: the topic gets more files as it grows, not larger ones.
+TOPIC_RECORDS_PER_FILE = 250_000
+
+
+def write_topic(messages: DataFrame, path: str) -> None:
+    """The messages as JSON-lines files by key, two at least, each about TOPIC_RECORDS_PER_FILE
+    records at most, so that no task writes a share of the whole topic."""
+    files = max(2, -(-messages.count() // TOPIC_RECORDS_PER_FILE))
+    messages.repartition(files, "key").write.json(path)
+
+
 @query
 def consume_records(spark, sf):
     """The messages as topic files, consumed in windows that end inside files; whether every record
     has come from one place of its own."""
     out = fresh_dir(spark, "consume")
     messages = B.raw_events(spark, sf).select("key", "value")
-    messages.repartition(2, "key").write.json(f"{out}/topic")
+    write_topic(messages, f"{out}/topic")
     topic = records.Topic(spark, f"{out}/topic", f"{out}/position")
     third = spark.read.text(f"{out}/topic").count() // 3 + 1
     while flows.score_records(topic, B.CUSTOMERS, B.score_from_charges, f"{out}/t", max_records=third, processed_ts=_stamp()):

@@ -109,3 +109,16 @@ def test_ingest_takes_the_last_by_place(spark, tmp_path):
             assert [r.churn_probability for r in store.read("predictions").collect()] == [0.49]
         finally:
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_the_consumed_topic_has_more_files_as_it_grows_and_the_same_counts(spark, tmp_path, monkeypatch):
+    from scoreline.plans import catalog
+
+    made = iter(range(100))
+    monkeypatch.setattr(catalog, "fresh_dir", lambda spark, name: f"file:{tmp_path}/{name}-{next(made)}")
+    whole = sorted(catalog.consume_records(spark, "/root/testdata/sf0.001").collect())
+    monkeypatch.setattr(catalog, "TOPIC_RECORDS_PER_FILE", 100)
+    small = sorted(catalog.consume_records(spark, "/root/testdata/sf0.001").collect())
+    assert small == whole and sum(r.n for r in whole) == 1000
+    sizes = [len([x for x in f.read_text().split("\n") if x.strip()]) for f in (tmp_path / "consume-1" / "topic").glob("part-*")]
+    assert sum(sizes) == 1000 and len(sizes) > 5 and max(sizes) < 300  # not two files of about 500
